@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_prefix, decontaminate, exact_dedup, harmonic_pack, line_chunks, lpt_shards, simhash, token_matrix
+from . import chat_prefix, decontaminate, exact_dedup, harmonic_pack, line_chunks, lpt_shards, pii, simhash, token_matrix, toxicity
 from ._shared import table
 
 
@@ -24,6 +24,14 @@ def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.token_matrix(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.conversation_digests(chat_prefix.format_examples(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_simhash, op4_token_matrix, op7_sharding, op8_line_dedup, op9_packing, op10_chat_format)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_decontamination,
+        op3_simhash,
+        op4_token_matrix,
+        op5_toxicity,
+        op6_personal_data,
+        op7_sharding,
+        op8_line_dedup,
+        op9_packing,
+        op10_chat_format,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
