@@ -1,79 +1,71 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-The vocabulary's pre-tokeniser starts a new piece at every single space between
-two other characters, so a text can be cut there and each piece looked up in a
-bounded memo of pieces already encoded.  The ids are those of encoding the whole
-text; only the number of calls of the encoder falls.
+The vocabulary is the tokenizers file.  Where it is a plain byte-level BPE, whose
+merges come in the order of their ids, the same vocabulary is run by a faster
+encoder (the ids are the same); any other file is run by its own library.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 
 import numpy as np
 
-#: Pieces that the memo holds before it starts anew, and the longest kept there.
-MEMO_PIECES = 300_000
-MEMO_CHARS = 48
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
+def _byte_of() -> dict[str, int]:
+    """The letters by which a byte-level vocabulary writes bytes: printable bytes
+    stand for themselves, the others for the letters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {chr(b if b in plain else next(others)): b for b in range(256)}
+
+
+def _fast(path: str):
+    """An encoder text -> ids for a plain byte-level BPE file, else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    letters = _byte_of()
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if made != sorted(made) or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        return None
+    import public_tokenizers
+    import tiktoken
 
-class _Unsafe(Exception):
-    """A piece that starts or ends in whitespace: its neighbours matter."""
-
-
-class _Memo(dict):
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        ids = np.array(self.encode(self.lead + piece), "<u4").tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: core.encode_to_numpy(text, allowed_special="all")
 
 
 class Encoder:
-    """ids(text) gives the ids as little-endian unsigned 32-bit bytes."""
+    """ids(text) gives the ids as little-endian unsigned 32-bit bytes; strings of
+    special tokens in a text become their ids, and none are added."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._encode = lambda s: self._tokenizer.encode(s, add_special_tokens=False).ids
-        self._later = _Memo(self._encode, " ")
+        self._own = Tokenizer.from_file(path)
+        self._fast = _fast(path)
+
+    def plain_ids(self, text: str) -> bytes:
+        """By the vocabulary's own library."""
+        return np.array(self._own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self._special):
-            return np.array(self._encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
+        if self._fast is None:
+            return self.plain_ids(text)
         try:
-            if not first or first[0].isspace() or first[-1].isspace():
-                raise _Unsafe
-            return np.array(self._encode(first), "<u4").tobytes() + b"".join(map(self._later.__getitem__, rest))
-        except _Unsafe:
-            return self._in_pieces(text)
-
-    def _in_pieces(self, text: str) -> bytes:
-        """For runs of whitespace: cut only at single spaces between two others."""
-        first, *rest = _CUT.split(text)
-        out = [np.array(self._encode(first), "<u4").tobytes()]
-        for piece in rest:
-            try:
-                out.append(self._later[piece])
-            except _Unsafe:  # whitespace at the text's end
-                out.append(np.array(self._encode(" " + piece), "<u4").tobytes())
-        return b"".join(out)
+            return self._fast(text).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern gives up on runs of about a million spaces
+            return self.plain_ids(text)
 
 
 _open: dict[str, Encoder] = {}
