@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alleles import UNSAFE, is_locus, safe_name
 from ..functions.derived import cells_sql, derived_profile
-from ..functions.storage import stash
+from ..functions.storage import shared_folder, stash
 from ..operators import branching, distance, encode, margin, mst, network, tree
 from ..operators import weights as node_weights
 from ..sources import profiles, sinks
@@ -59,11 +61,12 @@ def profile_columns(spark, sf_dir):
 
 def read_profile_text(spark, sf_dir):
     """A profile written out as text and read again: rows, names and alleles."""
-    rows = _profile(spark, sf_dir, "emb_clonal_miss").orderBy("row_idx")
-    text = rows.select(F.concat_ws("\t", "name", F.array_join("alleles", "\t")).alias("line"))
-    folder = stash(text.coalesce(1), "text").inputFiles()[0].rsplit("/", 1)[0] + "-lines"
+    rows = _profile(spark, sf_dir, "emb_clonal_miss")
+    lines = rows.select("row_idx", F.concat_ws("\t", "name", F.array_join("alleles", "\t")).alias("line"))
     header = "#name\t" + "\t".join(f"locus{k}" for k in range(64))
-    spark.createDataFrame([(header,)], "line string").unionByName(text).coalesce(1).write.text(folder)
+    folder = f"{shared_folder(spark)}/lociweave/profile-{uuid.uuid4().hex}"
+    text = spark.createDataFrame([(-1, header)], "row_idx long, line string").unionByName(lines)
+    text.repartition(1).sortWithinPartitions("row_idx").select("line").write.text(folder)  # a profile is one file by nature
     back = profiles.read_profile(spark, path=folder)
     return back.select("name", F.array_join("alleles", ",").alias("alleles"))
 
