@@ -102,6 +102,9 @@ def _kind_features(kind: int, text: str, start: int, end: int) -> list[str] | No
         dots = [i for i, t in enumerate(signs) if t in _DOT and i > at[0]]
         if any(b - a < 2 for a, b in zip([at[0], *dots], [*dots, len(signs)], strict=True)):
             return None
+        bare_at = "@" not in signs and not re.search(r"[\[({]\s?(at|arobase)\s?[\])}]", span, re.I)
+        if bare_at and all(signs[i] == "." for i in dots) or re.search(r"\.\s|\s\.", span):
+            return None  # "look at this.example" and ends of sentences
         out += ["tld" if signs[-1] in _TLD else "odd-tld", "brackets" if any(c in "[({" for c in span) else "bare"]
         out.append("sign" if "@" in signs else "word-at")
         out.append("word-dot" if any(t in _DOT and t != "." for t in signs) else "sign-dot")
@@ -219,7 +222,7 @@ def _generated(seed: int, n: int) -> Iterator[tuple[str, list[tuple[int, int, in
     def mail() -> str:
         at = r.choice((" [at] ", " (at) ", "[at]", "(at)", " at ", " @ ", " {at} ", "@ ", " AT "))
         dot = r.choice((" [dot] ", " (dot) ", "[dot]", " dot ", " DOT ", "(dot)")) if at.strip() not in ("@",) or r.random() < 0.5 else "."
-        if "at" in at.lower() and r.random() < 0.3:
+        if at.strip()[0] in "[({" and r.random() < 0.3:
             dot = "."
         name = word() + r.choice(("", d(2), "." + word(), "_" + word()))
         return name + at + r.choice((word(), "mail" + d(1), word() + dot + word())) + dot + r.choice(sorted(_TLD))
