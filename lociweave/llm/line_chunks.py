@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
 Lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk
-where it is divisible by DIVISOR.  A boundary depends on those lines alone, so
-lines put in or taken out elsewhere don't move it.  A chunk of several lines that
-occurs again anywhere in the table is removed but for its first occurrence.
+where it is divisible by DIVISOR, and a line of more than LONG_WORDS words (a
+passage written as one line) is a chunk of its own.  A boundary depends on those
+lines alone, so lines put in or taken out elsewhere don't move it.  A chunk of
+several lines, or of one such long line, that occurs again anywhere in the table
+is removed but for its first occurrence.
 Hashes only nominate: chunks are grouped by their bytes before one is removed.
 """
 
@@ -19,22 +21,27 @@ DIVISOR = 3
 #: Lines that a chunk must have to be removed, and words.
 LEAST_LINES = 2
 LEAST_WORDS = 4
+#: Words above which a line is a chunk of its own.
+LONG_WORDS = 50
 _BASE = 31
 _PRIME = 2147483647
 
 #: The first 8 hex digits of a line's MD5 as a number.
 _HASHES = "transform(t, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as long))"
+_WORD = r"[^\x20\x09-\x0D]+"
+#: Whether a line is long; short ones aren't searched for words.
+_LONG = f"transform(t, x -> length(x) > {2 * LONG_WORDS} and regexp_count(x, '{_WORD.replace(chr(92), 2 * chr(92))}') > {LONG_WORDS})"
 
 
 def _chunks(window: int, divisor: int) -> str:
     """SQL: the chunks (idx from 0, n lines, text) of the lines ``t``, as an array."""
     rolled = " + ".join(f"pmod(element_at(h, i - {k}) * {_BASE**k}L, {_PRIME}L)" for k in range(window))
-    ends = f"filter(sequence(1, size(h)), i -> i = size(h) or (i >= {window} and pmod(pmod({rolled}, {_PRIME}L), {divisor}L) = 0L))"
+    ends = f"filter(sequence(1, size(h)), i -> i = size(h) or element_at(s, i) or element_at(s, i + 1) or (i >= {window} and pmod(pmod({rolled}, {_PRIME}L), {divisor}L) = 0L))"
     cut = (
         "transform(e, (to, k) -> transform(array(if(k = 0, 0, element_at(e, if(k = 0, 1, k)))), since -> named_struct("
         "'idx', k, 'n', to - since, 'text', array_join(slice(t, since + 1, to - since), '\\n')))[0])"
     )
-    return f"transform(array({_HASHES}), h -> transform(array({ends}), e -> {cut})[0])[0]"
+    return f"transform(array({_HASHES}), h -> transform(array({_LONG}), s -> transform(array({ends}), e -> {cut})[0])[0])[0]"
 
 
 def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
@@ -45,8 +52,8 @@ def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> Da
 
 def _many(docs: DataFrame, window: int, divisor: int, least_lines: int, least_words: int) -> DataFrame:
     each = chunked(docs, window, divisor).select("doc_id", "dkey", F.explode("chunks").alias("c"))
-    words = F.size(F.filter(F.split(F.col("c.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return each.filter((F.col("c.n") >= least_lines) & (words >= least_words)).select("doc_id", "dkey", "c.idx", "c.text", F.xxhash64("c.text").alias("h"))
+    words = F.regexp_count(F.col("c.text"), F.lit(_WORD))
+    return each.filter(((F.col("c.n") >= least_lines) & (words >= least_words)) | (words > LONG_WORDS)).select("doc_id", "dkey", "c.idx", "c.text", F.xxhash64("c.text").alias("h"))
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -108,12 +115,14 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i,
              len(string_split(text, chr(10))) AS n FROM d),
 h AS (SELECT *, CAST(CAST('0x' || substr(md5(line), 1, 8) AS UBIGINT) AS BIGINT) AS f FROM l),
-e AS (SELECT *, CASE WHEN i >= {WINDOW} AND ((f + (lag(f) OVER w * {_BASE}) % {_PRIME}) % {_PRIME}) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS ends
-      FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > {LONG_WORDS} AS long FROM h),
+e AS (SELECT *, CASE WHEN long OR lead(long, 1, false) OVER w OR i >= {WINDOW} AND ((f + (lag(f) OVER w * {_BASE}) % {_PRIME}) % {_PRIME}) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS ends
+      FROM g WINDOW w AS (PARTITION BY r ORDER BY i)),
 k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
 c AS (SELECT r, doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP BY r, doc_id, c),
-m AS (SELECT *, n >= {LEAST_LINES} AND len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) >= {LEAST_WORDS} AS many FROM c),
-o AS (SELECT *, many AND row_number() OVER (PARTITION BY many, text ORDER BY doc_id NULLS LAST, r, c) > 1 AS gone FROM m)
+m AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM c),
+q AS (SELECT *, n >= {LEAST_LINES} AND words >= {LEAST_WORDS} OR words > {LONG_WORDS} AS many FROM m),
+o AS (SELECT *, many AND row_number() OVER (PARTITION BY many, text ORDER BY doc_id NULLS LAST, r, c) > 1 AS gone FROM q)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(text, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
 FROM o GROUP BY r, doc_id

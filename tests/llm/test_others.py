@@ -54,8 +54,9 @@ def plain_report(rows):
         lines = (text or "").split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
         chunks, at = [], 0
+        long = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) > 50 for x in lines] + [False]
         for i in range(len(lines)):
-            ends = i >= 1 and (h[i] + h[i - 1] * 31 % 2147483647) % 2147483647 % 3 == 0
+            ends = long[i] or long[i + 1] or i >= 1 and (h[i] + h[i - 1] * 31 % 2147483647) % 2147483647 % 3 == 0
             if ends or i == len(lines) - 1:
                 chunks.append("\n".join(lines[at : i + 1]))
                 at = i + 1
@@ -63,7 +64,8 @@ def plain_report(rows):
     places = defaultdict(list)
     for k, (doc, chunks) in enumerate(docs):
         for c, text in enumerate(chunks):
-            if "\n" in text and len([w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]) >= 4:
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+            if "\n" in text and n >= 4 or n > 50:
                 places[text].append((doc is None, doc or 0, k, c))
     gone = {(p[2], p[3]) for ps in places.values() for p in sorted(ps)[1:]}
     out = []
@@ -76,7 +78,7 @@ def plain_report(rows):
 
 def line_rows(seed=9):
     r = random.Random(seed)
-    passage = [" ".join(f"p{k}w{j}" for j in range(9)) for k in range(12)]
+    passage = [" ".join(f"p{k}w{j}" for j in range(9)) for k in range(12)] + [" ".join(f"l{j}" for j in range(60)), " ".join(f"m{j}" for j in range(50))]
     rows = []
     for i in range(60):
         own = [f"own line {i} {k} {r.random()}" for k in range(r.randrange(1, 12))]
