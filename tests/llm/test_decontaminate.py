@@ -72,7 +72,7 @@ def test_documents_go_and_spans_go(spark):
     kept = dc.decontaminate(docs, items)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 6, 9, 10, 11] and kept.columns == docs.columns
     cut = {r["doc_id"]: r["text"] for r in dc.decontaminate(docs, items, mode="spans").collect() if r["doc_id"] != 6}
-    assert cut[1] == "x ! eleven y".replace("! eleven", " ") or cut[1] == "x  y"
+    assert cut[1] == "x  y"
     assert cut[2] == "a  and a " and cut[3] is None and cut[11] == "nothing here" and cut[7] == LONG + "  " + LONG
     again = dc.measure(dc.decontaminate(docs, items, mode="spans"), items).collect()
     assert not any(r["contaminated"] for r in again)
