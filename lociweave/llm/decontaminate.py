@@ -59,11 +59,11 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> Data
     found = each.join(windows.select("h", "len").distinct().hint("shuffle_hash"), (F.col("p.h") == F.col("h")) & (F.col("p.len") == F.col("len")), "left_semi")
     by_row = found.groupBy("row").agg(F.collect_list(F.struct("p.at", "p.len")).alias("ps"))
     win = F.expr("transform(coalesce(ps, array()), p -> named_struct('at', p.at, 'len', p.len, 'win', array_join(slice(words, p.at, p.len), ' ')))")
-    return rows.join(by_row, "row", "left").select("row", "doc_id", "words", win.alias("hits"))
+    return rows.join(by_row, "row", "left").select("row", "doc_id", "text_hash", "words", win.alias("hits"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, n_words, places (sorted, distinct
+    """One row per row of ``docs``: doc_id, text_hash, n_words, places (sorted, distinct
     (at, len) of verified windows, words counted from 1) and item_ids (strings).
 
     Null texts have no words.  An item of fewer than ``n`` words is one window;
@@ -72,23 +72,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_window
     """
     windows = benchmark_windows(benchmark, n)
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most n of them
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _words().alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), _words().alias("words"))
     held = windows.select("len", "h").distinct().limit(max_windows + 1).collect() if lengths else []
     if len(held) <= max_windows:
         by: dict[int, list[int]] = {}
         for length, h in held:
             by.setdefault(length, []).append(h)
-        found = rows.select("row", "doc_id", F.expr(_in_plan(by)).alias("o"))
-        found = found.select("row", "doc_id", F.col("o.n").alias("n_words"), F.col("o.hits").alias("hits"))
+        found = rows.select("row", "doc_id", "text_hash", F.expr(_in_plan(by)).alias("o"))
+        found = found.select("row", "doc_id", "text_hash", F.col("o.n").alias("n_words"), F.col("o.hits").alias("hits"))
         verified = F.broadcast(windows.select("win", "items"))
     else:
         found = _by_shuffle(rows, windows, lengths).withColumn("n_words", F.size("words").cast("long"))
         verified = windows.select("win", "items")
-    each = found.select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit"))
+    each = found.select("row", "doc_id", "text_hash", "n_words", F.explode_outer("hits").alias("hit"))
     each = each.join(verified, F.col("hit.win") == F.col("win"), "left")
     place = F.when(F.col("win").isNotNull(), F.struct("hit.at", "hit.len"))
-    by_row = each.groupBy("row", "doc_id", "n_words").agg(F.collect_set(place).alias("places"), F.collect_set("items").alias("items"))
-    return by_row.select("row", "doc_id", "n_words", F.array_sort("places").alias("places"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("item_ids"))
+    by_row = each.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set(place).alias("places"), F.collect_set("items").alias("items"))
+    return by_row.select("doc_id", "text_hash", "n_words", F.array_sort("places").alias("places"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("item_ids"))
 
 
 #: Words that sorted places (at, len) cover.
@@ -115,20 +115,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """``docs`` without contaminated documents (mode ``documents``) or without the
     hit words and what stands between them (mode ``spans``), all columns kept.
 
-    A row is found again by doc_id; rows that repeat a doc_id share a verdict:
-    under ``documents`` they go if one of them is hit.  Under ``spans`` a
-    repeated or null doc_id is told apart by a hash of its text as well.
+    A row is found again by doc_id and a hash of its text, so rows that share a
+    doc_id or have none are told apart; equal rows end alike.
     """
-    if mode == "documents":
-        bad = measure(docs, benchmark, n, max_windows).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    key = F.xxhash64(F.col("doc_id").cast("long"), whole_text())
-    found = find_hits(docs.select(key.alias("doc_id"), "text"), benchmark, n, max_windows).filter(F.size("places") > 0)
-    found = found.select(F.col("doc_id").alias("_lw_key"), F.expr(_MERGED).alias("_lw_spans")).dropDuplicates(["_lw_key"])
-    joined = docs.withColumn("_lw_k", key).join(found, F.col("_lw_k") == F.col("_lw_key"), "left")
-    parts = joined.withColumn("_lw_parts", F.regexp_extract_all(whole_text(), F.lit(_PARTS), 0)).withColumn("_lw_first", F.when(F.col("text").rlike(_STARTS_WITH_WORD), 0).otherwise(1))
+    found = find_hits(docs, benchmark, n, max_windows).filter(F.size("places") > 0)
+    found = found.select(F.col("doc_id").alias("_lw_id"), F.col("text_hash").alias("_lw_key"), "places")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_text") == F.col("_lw_key"))
+    keyed = docs.withColumn("_lw_text", F.xxhash64(whole_text()))
+    if mode == "documents":
+        return keyed.join(found.select("_lw_id", "_lw_key").distinct(), same, "left_anti").select(*docs.columns)
+    spans = found.dropDuplicates(["_lw_id", "_lw_key"]).select("_lw_id", "_lw_key", F.expr(_MERGED).alias("_lw_spans"))
+    parts = keyed.join(spans, same, "left").withColumn("_lw_parts", F.regexp_extract_all(whole_text(), F.lit(_PARTS), 0))
+    parts = parts.withColumn("_lw_first", F.when(F.col("text").rlike(_STARTS_WITH_WORD), 0).otherwise(1))
     return parts.withColumn("text", F.when(F.col("_lw_spans").isNull(), F.col("text")).otherwise(F.expr(_KEPT))).select(*docs.columns)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, stash
+from ._shared import BROADCAST_ROWS, stash, whole_text
 
 SHINGLE = 3
 RADIUS = 3
@@ -60,14 +60,15 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row."""
+    """doc_id, text_hash and fp (the fingerprint's bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in rows.column(1)), np.uint64, rows.num_rows)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in rows.column(2)), np.uint64, rows.num_rows)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 class BKTree:
@@ -212,6 +213,18 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(seen)
 
 
+def _classes(docs: DataFrame, shingle: int, radius: int, seed: int) -> DataFrame:
+    """doc_id, text_hash, fp, component_id of every row."""
+    marked = stash(fingerprints(docs, shingle, seed), "fingerprints")
+    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(forest(nodes.select("fp"), radius))
+    owner = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    owner = stash(owner, "owners")
+    ids = owner.groupBy("root").agg(F.min("least").alias("component_id"))
+    final = owner.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return marked.join(final, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits),
     component_id (the smallest doc_id that links reach).
@@ -221,21 +234,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     repeat a doc_id are nodes of their own.  Only doc_id and text are read.  No
     rows give no rows.
     """
-    marked = stash(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = components(forest(nodes.select("fp"), radius))
-    owner = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    owner = stash(owner, "owners")
-    ids = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = owner.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    out = marked.join(final, F.col("fp") == F.col("_fp"))
+    out = _classes(docs, shingle, radius, seed)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest
-    doc_id.  All columns are kept; rows without a doc_id stay only where their
-    component has no other row with one."""
-    marked = stash(near_duplicates(docs, shingle, radius, seed), "near")
-    gone = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    doc_id.  All columns are kept.
+
+    A row is found again by doc_id and a hash of its text, so rows that share a
+    doc_id or have none are told apart; of a component with only null doc_ids,
+    all rows stay, as do equal rows that repeat a doc_id.
+    """
+    classes = _classes(docs, shingle, radius, seed).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stash(classes.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct(), "near")
+    lost = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_lw_text") == F.col("_gone_text"))
+    return docs.withColumn("_lw_text", F.xxhash64(whole_text())).join(gone, lost, "left_anti").drop("_lw_text")

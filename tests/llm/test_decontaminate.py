@@ -69,6 +69,8 @@ def test_empty_tables(spark):
 
 def test_documents_go_and_spans_go(spark):
     docs, items = frames(spark)
+    shared = spark.createDataFrame([(1, "clean words"), (1, "a short item"), (None, "short item"), (None, "clean too"), (None, None)], "doc_id long, text string")
+    assert {r["text"] for r in dc.decontaminate(shared, items).collect()} == {"clean words", "clean too", None}
     kept = dc.decontaminate(docs, items)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 6, 9, 10, 11] and kept.columns == docs.columns
     cut = {r["doc_id"]: r["text"] for r in dc.decontaminate(docs, items, mode="spans").collect() if r["doc_id"] != 6}

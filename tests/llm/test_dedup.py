@@ -139,3 +139,12 @@ def test_near_duplicates_end_to_end(spark):
     kept = simhash.drop_near_duplicates(docs(spark, rows))
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["2", "3", "5", "7", "None"] and kept.columns == docs(spark, []).columns
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Only the copy goes, not another text with its doc_id or without one."""
+    r = random.Random(4)
+    a, b, c = (" ".join(f"{k}{r.randrange(5000)}" for _ in range(2000)) for k in "abc")
+    rows = [(1, a), (5, a + " x"), (5, b), (None, a + " y"), (None, c), (None, c + " z")]
+    got = simhash.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted(x["text"] for x in got) == sorted([a, b, c, c + " z"])
