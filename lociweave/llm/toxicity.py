@@ -34,8 +34,8 @@ MAX_TRAIN = 20_000
 MAX_TERMS = 4096
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-#: z of the log-odds from which a term is held, and from which it is a strong one.
-WEAK_Z, STRONG_Z = 2.5, 3.5
+#: (log-odds, their z) from which a term is held, and from which it is a strong one.
+WEAK, STRONG = (2.0, 2.5), (2.5, 3.5)
 LEAST_DOCS = 3
 PREFIX_LENGTHS = (4, 5, 6, 7)
 CONTEXT_WORDS = 6
@@ -96,7 +96,7 @@ class Lexicon:
             else:
                 self._prefix[at] = k
         self._forget()
-        self._words: dict[str, tuple | None] = {}
+        self.pieces = _Pieces(self)
 
     def _forget(self) -> None:
         self._ids: dict[tuple, int] = {}
@@ -154,14 +154,22 @@ class Lexicon:
                 return best[2], best[0]
         return (prefix, 0) if prefix >= 0 else None
 
-    def hit(self, word: str) -> tuple[int, int] | None:
-        try:
-            return self._words[word]
-        except KeyError:
-            if len(self._words) >= self.memo_words:
-                self._words.clear()
-            out = self._words[word] = self.find(word)
-            return out
+
+class _Pieces(dict):
+    """The hits of the words in a piece of text without white space, or None; a
+    bounded memo, as most pieces come again and hit nothing."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, piece: str) -> tuple | None:
+        hits = tuple(h for w in _WORD.findall(piece) if (h := self.lexicon.find(w))) or None
+        if len(piece) <= 40:
+            if len(self) >= self.lexicon.memo_words:
+                self.clear()
+            self[piece] = hits
+        return hits
 
 
 def quotation(low: str, start: int, end: int) -> float:
@@ -180,31 +188,32 @@ def quotation(low: str, start: int, end: int) -> float:
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     low = text.lower()
-    words = _WORD.findall(low)
-    hit = lexicon.hit
-    if not any(map(hit, words)):
+    pieces = low.split()
+    hits = [h for hs in map(lexicon.pieces.__getitem__, pieces) if hs for h in hs]
+    if not hits:
         return [1.0, *[0.0] * (len(FEATURES) - 1)]
-    strong = fuzzy = weak = prefix = quoted = 0.0
+    terms = lexicon.terms
+    weak = sum(terms[k][2] < 2 for k, _ in hits)
+    strong = fuzzy = prefix = quoted = 0.0
     kinds = set()
-    for m in _WORD.finditer(low):
-        if not (h := hit(m[0])):
-            continue
-        k, edits = h
-        _, kind, strength = lexicon.terms[k]
-        q = quotation(low, m.start(), m.end())
-        quoted += q
-        if edits:
-            fuzzy += 1 - q
-        elif strength < 2:
-            weak += 1 - q
-        elif kind == "prefix":
-            prefix += 1 - q
-        else:
-            strong += 1 - q
-        if strength == 2 and not edits:
-            kinds.add(k)
+    if weak < len(hits):  # strong terms are weighed by the words around them
+        for m in _WORD.finditer(low):
+            for k, edits in lexicon.pieces[m[0]] or ():
+                _, kind, strength = terms[k]
+                if strength < 2:
+                    continue
+                q = quotation(low, m.start(), m.end())
+                quoted += q
+                if edits:
+                    fuzzy += 1 - q
+                    continue
+                kinds.add(k)
+                if kind == "prefix":
+                    prefix += 1 - q
+                else:
+                    strong += 1 - q
     sure = strong + prefix
-    return [1.0, min(1.0, sure), math.log1p(strong), math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(weak), math.log1p(prefix), min(5.0, 100 * sure / len(words)), math.log1p(quoted)]
+    return [1.0, min(1.0, sure), math.log1p(strong), math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(weak), math.log1p(prefix), min(5.0, 100 * sure / len(pieces)), math.log1p(quoted)]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -245,9 +254,9 @@ def held_out():
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Model:
     """The model from at most ``max_train`` labelled rows outside the held-out fold.
 
-    The rows are the first by a hash of doc_id.  Near copies are counted once for
-    the lexicon (rows are told apart by their least hash of three words).  Several
-    labels of a doc_id: the largest counts.  Without both labels the seeds and
+    The rows are the first by a hash of doc_id.  For the lexicon, a word counts once
+    for every pair of neighbours, so near copies add little.  Several labels of a
+    doc_id: the largest counts.  Without both labels the seeds and
     PRIOR serve.
     """
     named = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out())
@@ -256,25 +265,25 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(named), "doc_id")  # max_train rows at most
     sample = stash(rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half")), "labelled")
 
+    # a term counts once for every pair of neighbours that it is seen with, so that copies of a text count as one
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD_SQL), 0)
+    seen = "transform(w, (x, i) -> concat(x, ' ', xxhash64(if(i = 0, null, element_at(w, greatest(i, 1))), try_element_at(w, i + 2))))"
     first = sample.filter("half = 0").select("toxic", words.alias("w"))
-    first = first.withColumn("least", F.expr("array_min(transform(sequence(1, greatest(1, size(w) - 2)), i -> xxhash64(slice(w, i, 3))))"))
-    first = first.groupBy("least", "toxic").agg(F.first("w").alias("w"))
-    first = stash(first, "lexicon-rows")
-    n = {r[0]: r[1] for r in first.groupBy("toxic").count().collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
+    uses = first.select("toxic", F.explode(F.expr(f"array_distinct({seen})")).alias("use"))
+    uses = uses.distinct().select("toxic", F.split("use", " ")[0].alias("t")).filter(F.length("t").between(3, 40))
+    whole = stash(uses.groupBy("t").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g")), "words")
+    bad, good = whole.agg(F.sum("b"), F.sum("g")).first()
     terms = {s: (s, "word", 2) for s in SEEDS}
     if bad and good:
-        # strings, as distinct structs are found by comparing all with all: a mark for the kind, then the term
-        starts = ", ".join(f"transform(filter(w, x -> length(x) > {k}), x -> concat('-', left(x, {k})))" for k in PREFIX_LENGTHS)
-        every = F.expr(f"array_distinct(concat(transform(filter(w, x -> length(x) between 3 and 40), x -> concat('=', x)), {starts}))")
-        counts = first.select("toxic", F.explode(every).alias("s")).groupBy("s").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
-        counts = counts.select(F.expr("substr(s, 2)").alias("t"), F.when(F.col("s").startswith("="), "word").otherwise("prefix").alias("kind"), "b", "g")
-        odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
-        z = odds / F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
-        best = counts.filter(F.col("b") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= WEAK_Z).orderBy(F.desc("z"), "t", "kind").limit(max_terms)
+        begun = whole.select(F.explode(F.expr("transform(filter(array(%s), k -> length(t) > k), k -> left(t, k))" % ", ".join(map(str, PREFIX_LENGTHS)))).alias("t"), "b", "g")
+        begun = begun.groupBy("t").agg(F.sum("b").alias("b"), F.sum("g").alias("g")).withColumn("kind", F.lit("prefix"))
+        counts = whole.withColumn("kind", F.lit("word")).unionByName(begun).filter(F.col("b") >= LEAST_DOCS)
+        odds = F.log((F.col("b") + 0.5) / (F.col("g") + 0.5)) - F.lit(math.log(bad / good))
+        counts = counts.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5)))
+        best = counts.filter((F.col("odds") >= WEAK[0]) & (F.col("z") >= WEAK[1])).orderBy(F.desc("z"), "t", "kind").limit(max_terms)
         for r in best.collect():
-            terms.setdefault(r["t"] if r["kind"] == "word" else (r["t"], "prefix"), (r["t"], r["kind"], 2 if r["z"] >= STRONG_Z else 1))
+            strength = 2 if r["odds"] >= STRONG[0] and r["z"] >= STRONG[1] else 1
+            terms.setdefault(r["t"] if r["kind"] == "word" else (r["t"], "prefix"), (r["t"], r["kind"], strength))
     found = list(terms.values())
     pairs = sample.filter("half = 1").select("text", "toxic").mapInArrow(_feature_rows(found), "x array<double>, toxic int").collect()  # half of max_train rows
     x = np.array([r["x"] for r in pairs]).reshape(-1, len(FEATURES))
