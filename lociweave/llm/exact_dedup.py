@@ -195,13 +195,13 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     copies of each other in all that counts here; one of them stays.
     """
     marked = stash(mark_duplicates(docs), "marked")
-    gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    twice = marked.filter("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("text_sha256") == F.col("_gone_sha")), "left_semi")
+    gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_lw_gone_id"), F.col("text_sha256").alias("_lw_gone_sha"))
+    twice = marked.filter("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_lw_gone_id")) & (F.col("text_sha256") == F.col("_lw_gone_sha")), "left_semi")
     sha = F.sha2(F.regexp_replace(whole_text(), SPACES, " "), 256)
     keyed = docs.withColumn("_lw_sha", sha)
     if twice.isEmpty():
-        lost = (F.col("doc_id").eqNullSafe(F.col("_gone_id"))) & (F.col("_lw_sha") == F.col("_gone_sha"))
+        lost = (F.col("doc_id").eqNullSafe(F.col("_lw_gone_id"))) & (F.col("_lw_sha") == F.col("_lw_gone_sha"))
         return keyed.join(gone, lost, "left_anti").drop("_lw_sha")
-    stay = marked.filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    here = (F.col("doc_id").eqNullSafe(F.col("_stay_id"))) & (F.col("_lw_sha") == F.col("_stay_sha"))
+    stay = marked.filter("kept").select(F.col("doc_id").alias("_lw_stay_id"), F.col("text_sha256").alias("_lw_stay_sha"))
+    here = (F.col("doc_id").eqNullSafe(F.col("_lw_stay_id"))) & (F.col("_lw_sha") == F.col("_lw_stay_sha"))
     return keyed.join(stay, here, "left_semi").dropDuplicates(["doc_id", "_lw_sha"]).drop("_lw_sha")

@@ -247,6 +247,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     all rows stay, as do equal rows that repeat a doc_id.
     """
     classes = _classes(docs, shingle, radius, seed).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stash(classes.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct(), "near")
-    lost = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_lw_text") == F.col("_gone_text"))
+    gone = stash(classes.select(F.col("doc_id").alias("_lw_gone"), F.col("text_hash").alias("_lw_gone_text")).distinct(), "near")
+    lost = F.col("doc_id").eqNullSafe(F.col("_lw_gone")) & (F.col("_lw_text") == F.col("_lw_gone_text"))
     return docs.withColumn("_lw_text", F.xxhash64(whole_text())).join(gone, lost, "left_anti").drop("_lw_text")

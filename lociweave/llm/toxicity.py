@@ -292,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``_score`` and ``_predicted``; every row and column stays."""
+    """``docs`` with ``_lw_score`` and ``_lw_predicted``; every row and column stays."""
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, w = Lexicon(model.terms), np.array(model.weights)
@@ -302,9 +302,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             cols = [rows.column(i) for i in range(rows.num_columns) if i != at]
             names = [rows.schema.field(i).name for i in range(rows.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "_lw_score", "_lw_predicted"])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    kind = T.StructType([*docs.schema.fields, T.StructField("_lw_score", T.DoubleType()), T.StructField("_lw_predicted", T.IntegerType())])
     return docs.withColumn("_lw_text", whole_text()).mapInArrow(run, kind)
 
 
@@ -317,9 +317,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
     model = learn(docs, labels, max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
     scored = score(rows, model, threshold)
-    return scored.select("doc_id", "held_out", F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return scored.select("doc_id", "held_out", F.col("_lw_score").alias("score"), F.col("_lw_predicted").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns kept."""
-    return score(docs, learn(docs, labels, max_train), threshold).filter("_predicted = 0").drop("_score", "_predicted")
+    return score(docs, learn(docs, labels, max_train), threshold).filter("_lw_predicted = 0").drop("_lw_score", "_lw_predicted")
