@@ -23,6 +23,8 @@ LEAST_LINES = 2
 LEAST_WORDS = 4
 #: Words above which a line is a chunk of its own.
 LONG_WORDS = 50
+#: Words of 64 bits of the filter over repeated hashes: what is broadcast, whatever the table holds.
+FILTER_WORDS = 1 << 18
 _BASE = 31
 _PRIME = 2147483647
 
@@ -56,15 +58,28 @@ def _many(docs: DataFrame, window: int, divisor: int, least_lines: int, least_wo
     return each.filter(((F.col("c.n") >= least_lines) & (words >= least_words)) | (words > LONG_WORDS)).select("doc_id", "dkey", "c.idx", "c.text", F.xxhash64("c.text").alias("h"))
 
 
+def _maybe_repeated(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``chunks`` without most of those whose hash isn't in ``hashes``: a bit filter
+    of FILTER_WORDS rows at most, so that their texts needn't travel.  None that
+    is in ``hashes`` goes."""
+    word, bit = F.pmod("h", F.lit(FILTER_WORDS)), F.expr("cast(pmod(shiftrightunsigned(h, 40), 64) as int)")
+    words = hashes.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(h, 40), 64) as int))")).alias("_bits"))
+    held = chunks.join(F.broadcast(words), word == F.col("_word")).withColumn("_bit", bit)
+    return held.filter(F.expr("shiftrightunsigned(_bits, _bit) & 1L = 1L")).drop("_word", "_bits", "_bit")
+
+
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, dkey, idx of the chunk occurrences that go: all but the first, by
     (doc_id, nulls last, dkey, idx), of every chunk that occurs again."""
     hashes = _many(docs, window, divisor, least_lines, least_words).groupBy("h").count().filter("count > 1").select("h")
     hashes = stash(hashes, "repeated-hashes")
-    found = stash(_many(docs, window, divisor, least_lines, least_words).join(hashes, "h", "left_semi"), "nominated")
+    # an inner join with distinct hashes: a semi-join would be moved below the filter's join
+    found = _maybe_repeated(_many(docs, window, divisor, least_lines, least_words), hashes).join(hashes, "h")
+    found = stash(found, "nominated")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dkey", "idx")
     firsts = found.groupBy("h", "text").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    firsts = firsts.select(F.col("h").alias("_h"), F.col("text").alias("_text"), "first")
+    # written, so that the join deals both sides itself and can split a chunk that a third of the rows share
+    firsts = stash(firsts.select(F.col("h").alias("_h"), F.col("text").alias("_text"), "first"), "firsts")
     both = found.join(firsts, (F.col("h") == F.col("_h")) & (F.col("text") == F.col("_text")))
     return both.filter(place != F.col("first")).select("doc_id", "dkey", "idx")
 
