@@ -38,20 +38,26 @@ _BLOCKS = ((4, 16_000_000), (5, 8_000_000_000), (6, 1 << 62))
 _BITS_AT_ONCE = 1 << 15
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a UTF-8 text, as an unsigned integer."""
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Hashes of the shingles of a UTF-8 text, in order; none without words."""
     import xxhash
 
     words = raw.lower().split()  # bytes: A-Z and ASCII whitespace only
     if not words:
-        return 0
+        return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of a UTF-8 text, as an unsigned integer."""
+    hashes = shingle_hashes(raw, shingle, seed)
+    if not hashes:
+        return 0
     h = np.array(hashes, "<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), _BITS_AT_ONCE):
@@ -246,7 +252,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     doc_id or have none are told apart; of a component with only null doc_ids,
     all rows stay, as do equal rows that repeat a doc_id.
     """
-    classes = _classes(docs, shingle, radius, seed).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without(docs, _classes(docs, shingle, radius, seed))
+
+
+def without(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` without the rows (doc_id, text_hash) of ``classes`` that aren't their component's smallest."""
+    classes = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = stash(classes.select(F.col("doc_id").alias("_lw_gone"), F.col("text_hash").alias("_lw_gone_text")).distinct(), "near")
     lost = F.col("doc_id").eqNullSafe(F.col("_lw_gone")) & (F.col("_lw_text") == F.col("_lw_gone_text"))
     return docs.withColumn("_lw_text", F.xxhash64(whole_text())).join(gone, lost, "left_anti").drop("_lw_text")

@@ -1,0 +1,147 @@
+"""Near copies by the share of shingles in common, checked exactly.
+
+A text is the set of its shingles of five words.  BANDS hashes of ROWS minima
+each nominate: texts that agree on a band are linked, and what is linked through
+others too makes a group.  Inside a group the sets themselves are compared, so no
+text goes on a hash of its minima.  Two texts of similarity s meet in no band
+with probability (1 - s^ROWS)^BANDS: 3 in a million at 0.8, less above.
+
+A group of more than ``TREE_TEXTS`` texts is several parts, and every two parts
+meet in one task, so what a task holds is bounded whatever the group holds.  What
+leaves a task is a spanning forest, never all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shared import BROADCAST_ROWS, stash, whole_text
+from .simhash import SEED, components, shingle_hashes, without
+
+SHINGLE = 5
+SIMILARITY = 0.8
+ROWS = 5
+BANDS = 32
+TREE_TEXTS = 256
+_SHINGLES_AT_ONCE = 1 << 12
+
+
+def shingle_set(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of the shingles of a UTF-8 text, sorted."""
+    return np.unique(np.array(shingle_hashes(raw, shingle, seed), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; empty sets are like nothing."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def _keys(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray, rows: int) -> list[int]:
+    """A hash of the minima of every band, as longs."""
+    import xxhash
+
+    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+        mixed = hashes[at : at + _SHINGLES_AT_ONCE, None] * factors
+        mixed += shifts
+        np.minimum(least, mixed.min(axis=0), out=least)
+    told = least.reshape(-1, rows)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(told)], np.uint64).view(np.int64).tolist()
+
+
+def band_keys(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, text_hash and keys (one per band; none for a text without words) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.random.default_rng(seed)
+        factors = r.integers(0, 1 << 63, rows * bands, np.uint64) * np.uint64(2) + np.uint64(1)
+        shifts = r.integers(0, 1 << 63, rows * bands, np.uint64)
+        for batch in batches:
+            sets = (shingle_set(t.as_py() or b"", shingle, seed) for t in batch.column(2))
+            keys = [_keys(h, factors, shifts, rows) if len(h) else [] for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "keys"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, keys array<long>")
+
+
+def _forest(texts: list[tuple[bool, int, np.ndarray]], crossed: bool, least: float) -> list[tuple[int, int]]:
+    """(text, root) of the links among texts or, where ``crossed``, between the
+    two parts.  Texts that are connected already aren't compared again."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for k, (part, a, x) in enumerate(texts):
+        for other, b, y in texts[:k]:
+            if crossed and part == other or min(len(x), len(y)) < least * max(len(x), len(y)):
+                continue
+            if (p := root(a)) != (q := root(b)) and similarity(x, y) >= least:
+                parent[max(p, q)] = min(p, q)
+    return [(x, root(x)) for x in list(parent)]
+
+
+def _compare(shingle: int, seed: int, least: float):
+    """Over rows sorted by (root, i, j): the forest of each pair of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, texts = None, []
+
+        def end() -> pa.RecordBatch:
+            pairs = np.array(_forest(texts, key[1] != key[2], least) if key else [], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for g, i, j, sub, node, text in zip(*cols, batch.column(5), strict=True):
+                if key != (g, i, j):
+                    yield end()
+                    key, texts = (g, i, j), []
+                texts.append((sub == i, node, shingle_set(text.as_py(), shingle, seed)))
+        yield end()
+
+    return run
+
+
+def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED, tree_texts: int = TREE_TEXTS) -> DataFrame:
+    """doc_id, text_hash, component_id (the smallest doc_id that links reach) of
+    the rows whose text is like another's: ``least`` of their shingles or more."""
+    marked = stash(band_keys(docs, shingle, seed), "bands")
+    keys = marked.select("text_hash", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).filter("low < high").select("key", "low")
+    shared = stash(shared, "shared-bands")
+    groups = stash(components(keys.join(shared, "key").select(F.col("text_hash").alias("a"), F.col("low").alias("b"))), "groups")
+    groups = stash(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "members")
+    sizes = groups.groupBy("root").count().filter(F.col("count") > tree_texts)
+    large = stash(sizes.select("root", F.ceil(F.col("count") / tree_texts).cast("int").alias("trees")), "large-groups")
+    side = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    held = groups.join(side, "root", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    few = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    rows = docs.select(F.xxhash64(whole_text()).alias("node"), whole_text().cast("binary").alias("text")).join(few, "node")
+    rows = rows.groupBy("node", "root", "trees").agg(F.first("text").alias("text"))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    rows = rows.select("root", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "node", "text")
+    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    links = stash(components(dealt.mapInArrow(_compare(shingle, seed, least), "a long, b long")), "similar")
+    nodes = links.unionByName(links.select(F.col("root").alias("node"), "root").distinct())
+    found = stash(marked.select("doc_id", "text_hash").join(nodes, F.col("text_hash") == F.col("node")).select("doc_id", "text_hash", "root"), "alike")
+    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(stash(ids, "least"), "root").select("doc_id", "text_hash", "component_id")
+
+
+def drop_similar(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED, tree_texts: int = TREE_TEXTS) -> DataFrame:
+    """``docs`` with one document of each component of similar texts: that with
+    the smallest doc_id.  All columns are kept.  Texts without words, and
+    components with only null doc_ids, stay.  No rows give no rows."""
+    return without(docs, similar_texts(docs, least, shingle, seed, tree_texts))
