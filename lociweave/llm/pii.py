@@ -4,8 +4,8 @@ Base spans come from the fixed patterns.  Around digits and address-like words
 that no base span explains, a zone of text is cut into tokens and every segment
 of tokens that could be an entity is scored as a whole (digit count, grouping,
 check digit, separators, context words, clean ends).  A dynamic programme over
-(token, number of entities so far) picks boundaries and types of a zone at once;
-both the segment length and the entities of a zone are bounded.  The weights are
+the tokens picks boundaries and types of a whole zone at once; only the length of
+a segment is bounded, neither a zone nor the entities in it.  The weights are
 fitted here, by the conditional log-likelihood of zones that a small generator
 writes; no row of any table is learned from.
 """
@@ -32,10 +32,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Most tokens of a segment and entities of a zone, most characters of a zone.
+#: Most tokens of a segment.
 SEGMENT_TOKENS = 24
-ZONE_ENTITIES = 6
-ZONE_CHARS = 400
 CONTEXT = 28
 #: Log-odds that a decoded path must have over the path without entities, an entity.
 MARGIN = 1.0
@@ -145,12 +143,16 @@ def _kind_features(kind: int, text: str, start: int, end: int) -> list[str] | No
     return [f"{KINDS[kind]}:{x}" for x in ["bias", *out]]
 
 
-def lattice(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, int, list[str]]]]:
-    """Token boundaries of a zone, and its candidate segments (from, to, kind, features)."""
+def _bounds(text: str, start: int, end: int) -> list[int]:
+    """Token boundaries of a zone."""
     bounds = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
     if bounds[-1] != end:
         bounds.append(end)
-    out = []
+    return bounds
+
+
+def _candidates(text: str, bounds: list[int]) -> Iterator[tuple[int, int, int, list[str]]]:
+    """Candidate segments of a zone (from, to, kind, features)."""
     for i in range(len(bounds) - 1):
         if text[bounds[i]].isspace():
             continue
@@ -159,22 +161,23 @@ def lattice(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int,
                 continue
             for kind in range(len(KINDS)):
                 if (f := _kind_features(kind, text, bounds[i], bounds[j])) is not None:
-                    out.append((i, j, kind, f))
-    return bounds, out
+                    yield i, j, kind, f
 
 
-def _forward(n: int, segments, scores) -> list[list[float]]:
-    """Log-sums over paths to each boundary, by the number of entities so far."""
+def lattice(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, int, list[str]]]]:
+    """Token boundaries of a zone, and its candidate segments (from, to, kind, features)."""
+    bounds = _bounds(text, start, end)
+    return bounds, list(_candidates(text, bounds))
+
+
+def _forward(n: int, segments, scores) -> list[float]:
+    """Log-sums over paths to each boundary."""
     at: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for (i, j, _, _), s in zip(segments, scores, strict=True):
         at[j].append((i, s))
-    a = [[-math.inf] * (ZONE_ENTITIES + 1) for _ in range(n)]
-    a[0][0] = 0.0
+    a = [0.0] * n
     for j in range(1, n):
-        for c in range(ZONE_ENTITIES + 1):
-            terms = [a[j - 1][c]] + [a[i][c - 1] + s for i, s in at[j] if c]
-            top = max(terms)
-            a[j][c] = top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+        a[j] = _total([a[j - 1], *(a[i] + s for i, s in at[j])])
     return a
 
 
@@ -183,25 +186,21 @@ def decode(n: int, segments, scores) -> list[int]:
     at: list[list[int]] = [[] for _ in range(n)]
     for k, (_, j, _, _) in enumerate(segments):
         at[j].append(k)
-    best = [[-math.inf] * (ZONE_ENTITIES + 1) for _ in range(n)]
-    back: list[list[int]] = [[-1] * (ZONE_ENTITIES + 1) for _ in range(n)]
-    best[0][0] = 0.0
+    best, back = [0.0] * n, [-1] * n
     for j in range(1, n):
-        for c in range(ZONE_ENTITIES + 1):
-            best[j][c], back[j][c] = best[j - 1][c], -1
-            for k in at[j] if c else ():
-                s = best[segments[k][0]][c - 1] + scores[k] - MARGIN
-                if s > best[j][c]:
-                    best[j][c], back[j][c] = s, k
-    j, c = n - 1, max(range(ZONE_ENTITIES + 1), key=lambda c: (best[n - 1][c], -c))
-    out = []
+        best[j] = best[j - 1]
+        for k in at[j]:
+            s = best[segments[k][0]] + scores[k] - MARGIN
+            if s > best[j]:
+                best[j], back[j] = s, k
+    j, out = n - 1, []
     while j > 0:
-        k = back[j][c]
+        k = back[j]
         if k < 0:
             j -= 1
         else:
             out.append(k)
-            j, c = segments[k][0], c - 1
+            j = segments[k][0]
     return out[::-1]
 
 
@@ -290,10 +289,10 @@ def fitted(seed: int = 7, texts: int = 500, rounds: int = 8, rate: float = 0.25,
             a = _forward(n, segments, scores)
             mirrored = [(n - 1 - j, n - 1 - i, k, f) for i, j, k, f in segments]
             b = _forward(n, mirrored, scores)
-            z = _total(a[n - 1])
+            z = a[n - 1]
             grad: dict[str, float] = {}
             for (i, j, _, fs), s, told in zip(segments, scores, gold, strict=True):
-                p = sum(math.exp(x + y + s - z) for c, x in enumerate(a[i]) if x > -math.inf for e, y in enumerate(b[n - 1 - j]) if y > -math.inf and c + e < ZONE_ENTITIES)
+                p = math.exp(a[i] + s + b[n - 1 - j] - z)
                 for f in fs:
                     grad[f] = grad.get(f, 0.0) + told - p
             for f, g in grad.items():
@@ -331,9 +330,8 @@ def zones_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
                 pieces.append((start, end))
                 break
         for a, b in pieces:
-            while b - a >= 6:  # long runs go in zones of a bounded size
-                out.append((a, min(b, a + ZONE_CHARS)))
-                a += ZONE_CHARS
+            if b - a >= 6:
+                out.append((a, b))
     return out
 
 
@@ -342,10 +340,12 @@ def find_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, in
     base = base_spans(text)
     added = []
     for start, end in zones_of(text, base):
-        bounds, segments = lattice(text, start, end)
-        if not segments:
-            continue
-        scores = [sum(weights.get(f, 0.0) for f in fs) for _, _, _, fs in segments]
+        bounds, segments, scores = _bounds(text, start, end), [], []
+        for i, j, kind, fs in _candidates(text, bounds):
+            s = sum(weights.get(f, 0.0) for f in fs)
+            if s > MARGIN:  # no other is on a best path; a long zone's needn't be held
+                segments.append((i, j, kind, ()))
+                scores.append(s)
         added += [(segments[k][2], bounds[segments[k][0]], bounds[segments[k][1]]) for k in decode(len(bounds), segments, scores)]
     return base, added
 

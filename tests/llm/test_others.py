@@ -293,6 +293,14 @@ def test_added_spans_and_held_out_zones():
     assert pii.find_spans("on 2024-01-15 12:30:45, order 123456789012, look at this. com", w) == ([], [])
 
 
+@pytest.mark.parametrize("sep", [" ", "  ", " - "])
+def test_long_lists_are_found_whole(sep):
+    numbers = [f"555-200-{1000 + k}" for k in range(200)]
+    text = sep.join(numbers)
+    base, added = pii.find_spans(text, pii.fitted())
+    assert base == [] and [text[s:e] for _, s, e in added] == numbers
+
+
 def test_decoding_against_all_paths():
     r = random.Random(15)
     for _ in range(60):
