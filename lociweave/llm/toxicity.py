@@ -189,29 +189,26 @@ def quotation(low: str, start: int, end: int) -> float:
 def features(text: str, lexicon: Lexicon) -> list[float]:
     low = text.lower()
     pieces = low.split()
-    hits = [h for hs in map(lexicon.pieces.__getitem__, pieces) if hs for h in hs]
-    if not hits:
+    if not any(map(lexicon.pieces.__getitem__, pieces)):
         return [1.0, *[0.0] * (len(FEATURES) - 1)]
-    terms = lexicon.terms
-    weak = sum(terms[k][2] < 2 for k, _ in hits)
-    strong = fuzzy = prefix = quoted = 0.0
+    strong = fuzzy = weak = prefix = quoted = 0.0
     kinds = set()
-    if weak < len(hits):  # strong terms are weighed by the words around them
-        for m in _WORD.finditer(low):
-            for k, edits in lexicon.pieces[m[0]] or ():
-                _, kind, strength = terms[k]
-                if strength < 2:
-                    continue
-                q = quotation(low, m.start(), m.end())
-                quoted += q
-                if edits:
-                    fuzzy += 1 - q
-                    continue
-                kinds.add(k)
-                if kind == "prefix":
-                    prefix += 1 - q
-                else:
-                    strong += 1 - q
+    for m in _WORD.finditer(low):
+        for k, edits in lexicon.pieces[m[0]] or ():
+            _, kind, strength = lexicon.terms[k]
+            q = quotation(low, m.start(), m.end())
+            quoted += q
+            if strength < 2:
+                weak += 1 - q
+                continue
+            if edits:
+                fuzzy += 1 - q
+                continue
+            kinds.add(k)
+            if kind == "prefix":
+                prefix += 1 - q
+            else:
+                strong += 1 - q
     sure = strong + prefix
     return [1.0, min(1.0, sure), math.log1p(strong), math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(weak), math.log1p(prefix), min(5.0, 100 * sure / len(pieces)), math.log1p(quoted)]
 

@@ -191,6 +191,13 @@ def test_quotation_speaks_for_less():
     assert score("you absolute ldiot") > score("you absolute saint")
 
 
+def test_quoted_weak_terms_speak_for_less():
+    lexicon = toxicity.Lexicon([("grumzel", "word", 1)])
+    weak, quoted = toxicity.FEATURES.index("weak"), toxicity.FEATURES.index("quoted")
+    plain, told = toxicity.features("what a grumzel day", lexicon), toxicity.features('they wrote "grumzel" there', lexicon)
+    assert 0 < told[weak] < plain[weak] and told[quoted] > plain[quoted] > 0
+
+
 def toxic_corpus(n=600):
     r = random.Random(13)
     clean = [f"w{k}" for k in range(400)]
