@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 64 << 20
 
 _local: dict[str, str] = {}
+_used: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,8 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[app]
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it goes when Python ends."""
+    folder = f"{shared_folder(spark)}/lociweave/{spark.sparkContext.applicationId}"
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this application has staged.  Frames that read it can't be used any more."""
+    folder = stage_folder(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped, and can't delete any more
+        try:
+            clear_stages(spark)
+        except Exception as e:  # the JVM may have gone first; the files are then left to whoever owns the folder
+            print(f"stage files in {folder} were not deleted: {type(e).__name__}")
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/lociweave/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and
+    gives every later reader the same rows, whichever executors are lost."""
+    path = f"{stage_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
