@@ -2,24 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.alleles import is_missing
 from ..functions.storage import stash
 from ..plans.params import Missing
 
+#: Most distinct alleles of all loci, and most cells of a table (locus, allele) of ranks, that are sent to every task.
+RANKED_ALLELES = 300_000
+RANKED_CELLS = 1 << 24
 
-def encode_cells(profile: DataFrame) -> DataFrame:
-    """(row_idx, name, locus, code): the rank of an allele among the distinct
-    alleles of its locus by byte order, from 1; missing tokens take a rank and
-    then get code 0.  Only the distinct alleles are ranked."""
-    cells = profile.select("row_idx", "name", F.posexplode("alleles").alias("locus", "allele"))
-    ranked = cells.select("locus", "allele").distinct()
+
+def allele_ranks(profile: DataFrame) -> DataFrame:
+    """(locus, allele, code): the rank of an allele among the distinct alleles of its
+    locus by byte order, from 1; missing tokens take a rank and then get code 0."""
+    ranked = profile.select(F.posexplode("alleles").alias("locus", "allele")).distinct()
     ranked = ranked.withColumn("code", F.dense_rank().over(Window.partitionBy("locus").orderBy("allele")))
-    ranked = ranked.withColumn("code", F.when(is_missing(F.col("allele")), F.lit(0)).otherwise(F.col("code")))
-    return cells.join(ranked, ["locus", "allele"]).select("row_idx", "name", "locus", "code")
+    return ranked.withColumn("code", F.when(is_missing(F.col("allele")), F.lit(0)).otherwise(F.col("code")))
+
+
+def _coded(profile: DataFrame) -> DataFrame:
+    """(row_idx, name, codes).  Alleles are replaced in their arrays where the ranks
+    are few (counted); else cells are joined with their ranks."""
+    ranks = stash(allele_ranks(profile), "ranks")
+    loci, alleles, n = ranks.agg(F.coalesce(F.max("locus") + 1, F.lit(0)), F.count_distinct("allele"), F.count("*")).first()
+    if n > RANKED_ALLELES or loci * alleles > RANKED_CELLS:
+        cells = profile.select("row_idx", "name", F.posexplode("alleles").alias("locus", "allele")).join(ranks, ["locus", "allele"])
+        codes = F.transform(F.array_sort(F.collect_list(F.struct("locus", "code"))), lambda c: c["code"])
+        return cells.groupBy("row_idx", "name").agg(codes.alias("codes"))
+    held = ranks.collect()  # RANKED_ALLELES rows at most
+    known = pa.array(sorted({r["allele"] for r in held}), pa.string())
+    place = {a: k for k, a in enumerate(known.to_pylist())}
+    table = np.zeros((loci, alleles), np.int32)
+    for r in held:
+        table[r["locus"], place[r["allele"]]] = r["code"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            cells = rows.column(2)
+            starts = cells.offsets.to_numpy()
+            at = np.arange(starts[-1] - starts[0]) - np.repeat(starts[:-1] - starts[0], np.diff(starts))
+            told = pc.index_in(cells.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            codes = pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(table[at, told]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), codes], ["row_idx", "name", "codes"])
+
+    kept = profile.select("row_idx", "name", "alleles").filter(F.size("alleles") > 0)
+    schema = T.StructType([kept.schema["row_idx"], kept.schema["name"], T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    return kept.mapInArrow(run, schema)
+
+
+def encode_cells(profile: DataFrame) -> DataFrame:
+    """(row_idx, name, locus, code) of every cell; see allele_ranks()."""
+    return _coded(profile).select("row_idx", "name", F.posexplode("codes").alias("locus", "code"))
 
 
 def incomplete_loci(cells: DataFrame) -> DataFrame:
@@ -29,12 +71,13 @@ def incomplete_loci(cells: DataFrame) -> DataFrame:
 
 def encoded_rows(profile: DataFrame, missing: Missing = Missing.PAIR_DELETE) -> DataFrame:
     """(row_idx, name, codes) of the loci that ``missing`` keeps."""
-    cells = encode_cells(profile)
-    if missing is Missing.COMPLETE_DELETE:
-        cells = stash(cells, "cells")
-        cells = cells.join(incomplete_loci(cells), "locus", "left_semi")
-    codes = F.transform(F.array_sort(F.collect_list(F.struct("locus", "code"))), lambda c: c["code"])
-    return cells.groupBy("row_idx", "name").agg(codes.alias("codes"))
+    rows = _coded(profile)
+    if missing is not Missing.COMPLETE_DELETE:
+        return rows
+    rows = stash(rows, "coded")
+    kept = sorted(r[0] for r in incomplete_loci(rows.select(F.posexplode("codes").alias("locus", "code"))).collect())  # a number a locus
+    chosen = F.transform(F.lit(kept).cast("array<int>"), lambda k: F.get("codes", k))
+    return rows.withColumn("codes", chosen).filter(F.size("codes") > 0)
 
 
 def ordered_ids(df: DataFrame, order, id_name: str) -> DataFrame:

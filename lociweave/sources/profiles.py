@@ -75,9 +75,14 @@ def read_profile(spark: SparkSession, path: str | None = None, text: str | None
 
 def _fasta(body: DataFrame) -> DataFrame:
     """Each character of a record's joined lines is a locus."""
-    record = F.last(F.when(F.col("value").startswith(">"), F.col("line_no")), ignorenulls=True)
-    # one ordered pass over a file's lines; alignments of many files are read file by file
-    marked = body.filter(~F.col("value").startswith("#")).withColumn("rec", record.over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    # each part of a file is numbered on its own; what a part's first lines belong to is the last record before it
+    part = F.shiftright("line_no", 33)
+    head = F.when(F.col("value").startswith(">"), F.col("line_no"))
+    lines = body.filter(~F.col("value").startswith("#")).withColumn("part", part)
+    own = F.last(head, ignorenulls=True).over(Window.partitionBy("part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    ends = lines.groupBy("part").agg(F.max(head).alias("end"))
+    before = ends.select("part", F.max("end").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row a part
+    marked = lines.withColumn("own", own).join(F.broadcast(before), "part").withColumn("rec", F.coalesce("own", "before"))
     heads = marked.filter(F.col("value").startswith(">")).select("rec", F.element_at(F.split(F.expr("ltrim(substring(value, 2))"), r"\s+"), 1).alias("name"))
     seqs = marked.filter(~F.col("value").startswith(">")).groupBy("rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda s: s["value"]), "").alias("seq"))
     alleles = F.when(F.coalesce(F.col("seq"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.upper(F.regexp_replace("seq", r"\s", "")), ""))

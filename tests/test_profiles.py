@@ -27,6 +27,20 @@ def test_fasta(spark):
     assert rows(profiles.read_profile(spark, text=text)) == [("s1", list("ACGT-")), ("s2", list("ACGTN")), ("s3", [])]
 
 
+def test_fasta_over_parts_of_a_file(spark, tmp_path):
+    """A record may begin in one part and end in a later one."""
+    text = "".join(f">s{k} x\n" + "acgt" * 5 + "\n" + "ttga" * 5 + "\n" for k in range(200))
+    (tmp_path / "a.fasta").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        got = profiles.read_profile(spark, path=str(tmp_path / "a.fasta"))
+        assert profiles.numbered_lines(spark, str(tmp_path / "a.fasta")).rdd.getNumPartitions() > 1
+        assert rows(got) == [(f"s{k}", list("ACGT" * 5 + "TTGA" * 5)) for k in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_gzip_is_plain(spark, tmp_path):
     text = "#n\tl1\tl2\nx\t1\t2\ny\t1\t-\n"
     (tmp_path / "p.tsv").write_text(text)
@@ -47,7 +61,16 @@ def nodes(spark, text, missing=Missing.PAIR_DELETE):
 
 
 def test_missing_rows_and_codes(spark):
-    assert [(r["name"], r["codes"]) for r in nodes(spark, "#n\tp\tq\nA\t0\tN\nB\t1\t-")] == [("B", [2, 0])]
+    """Missing tokens take a rank and then code 0; a row of nothing else goes."""
+    text = "#n\tp\tq\tr\nblank\tn\t-\t0\npart\t-\t4\tN\nfull\t5\t4\t2"
+    assert [(r["name"], r["codes"]) for r in nodes(spark, text)] == [("part", [0, 2, 0]), ("full", [2, 2, 2])]
+
+
+def test_many_alleles_are_joined(spark, monkeypatch):
+    text = "#n\tp\tq\nA\tx\t10\nB\ty\t9\nC\t0\t10\nD\tz\t"
+    few = nodes(spark, text)
+    monkeypatch.setattr(encode, "RANKED_ALLELES", 0)
+    assert nodes(spark, text) == few and [r["codes"] for r in few] == [[4, 1], [0, 2], [2, 2], [3, 3]]
 
 
 def test_duplicates_and_order(spark):
