@@ -1,9 +1,10 @@
 """Pairwise distances between nodes.
 
 Nodes are cut into blocks of BLOCK; each pair of blocks is one unit of work that
-NumPy does on Arrow batches, so the work spreads over n^2/BLOCK^2 units and a unit's
-memory doesn't depend on n.  Blocks reach their partners by a broadcast where
-all of them together are small (checked), else by a shuffle.
+NumPy does on packed codes, so the work spreads over n^2/BLOCK^2 units and a unit's
+memory doesn't depend on n.  Where all codes together are small (checked), every
+task gets them and makes whole strips of the matrix; else blocks meet by a shuffle
+in tiles of TILE x TILE units, so a block travels n/(BLOCK TILE) times.
 """
 
 from __future__ import annotations
@@ -19,6 +20,27 @@ from ..functions.storage import BROADCAST_BYTES
 from ..plans.params import Matrix, Missing
 
 BLOCK = 256
+TILE = 8
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Codes in the smallest unsigned type that also leaves its largest value free."""
+    top = int(codes.max(initial=0))
+    return codes.astype(np.uint8 if top < 255 else np.uint16 if top < 65535 else np.uint32)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of places where a row of ``a`` equals a row of ``b``."""
+    loci = a.shape[1]
+    out = np.zeros((len(a), len(b)), np.int64)
+    same = np.zeros((min(BLOCK, len(b)), -(-loci // 64) * 64), bool)
+    for at in range(0, len(b), BLOCK):
+        part = b[at : at + BLOCK]
+        held = same[: len(part)]
+        for i, row in enumerate(a):
+            np.equal(part, row, out=held[:, :loci])
+            out[i, at : at + len(part)] = np.bitwise_count(np.packbits(held, axis=1).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def kernel(a: np.ndarray, b: np.ndarray, matrix: Matrix, missing: Missing, n_loci: int, penalty: float, everywhere: np.ndarray, rarity: np.ndarray) -> np.ndarray:
@@ -28,31 +50,32 @@ def kernel(a: np.ndarray, b: np.ndarray, matrix: Matrix, missing: Missing, n_loc
     locus, the chance that two other rows both have it.
     """
     if matrix is Matrix.BLOCKWISE:
-        out = np.empty((len(a), len(b)), np.float32)
-        for i, row in enumerate(a):
-            delta = row - b
+        out, wide = np.empty((len(a), len(b)), np.float32), b.astype(np.int64)
+        for i, row in enumerate(a.astype(np.int64)):
+            delta = row - wide
             run = delta != 0
             starts = run.copy()
             starts[:, 1:] &= delta[:, 1:] != delta[:, :-1]
             d1 = starts.sum(1)
             out[i] = (d1 + (run.sum(1) - d1) * penalty).astype(np.float32)
         return out
+    if matrix is Matrix.SYMMETRIC and missing is Missing.AS_ALLELE:
+        return (n_loci - _equal(a, b)).astype(np.float32)
+    if matrix is Matrix.SYMMETRIC and missing is Missing.COMPLETE_DELETE:
+        held = everywhere.astype(bool)
+        return (np.count_nonzero(held) - _equal(np.ascontiguousarray(a[:, held]), np.ascontiguousarray(b[:, held]))).astype(np.float32)
     pa_, pb = (a > 0), (b > 0)
-    told = np.where(pa_, a, -1)  # a missing value equals nothing
-    same = np.empty((len(a), len(b)), np.int64)
-    for i, row in enumerate(told):
-        same[i] = np.count_nonzero(b == row, axis=1)
-    both = (pa_.astype(np.float32) @ pb.astype(np.float32).T).astype(np.int64)
+    wide = np.result_type(packed(a), packed(b))
+    told = np.where(pa_, a, np.iinfo(wide).max).astype(wide)  # a missing value equals nothing
+    same = _equal(told, np.ascontiguousarray(b, dtype=wide))
+    if pa_.all() and pb.all():
+        both = np.int64(n_loci)
+    else:
+        both = (pa_.astype(np.float32) @ pb.astype(np.float32).T).astype(np.int64)
     differ = both - same
     if matrix is Matrix.SYMMETRIC:
         if missing is Missing.PAIR_DELETE:
             return (((differ + 0.01) * n_loci) / (both + 0.01)).astype(np.float32)
-        if missing is Missing.COMPLETE_DELETE:
-            held = everywhere.astype(bool)
-            return np.array([np.count_nonzero(b[:, held] != row, axis=1) for row in a[:, held]]).reshape(len(a), len(b)).astype(np.float32)
-        if missing is Missing.AS_ALLELE:
-            neither = ((~pa_).astype(np.float32) @ (~pb).astype(np.float32).T).astype(np.int64)
-            return (n_loci - same - neither).astype(np.float32)
         return differ.astype(np.float32)
     present = pb.sum(1)
     gone = present[None, :] - same
@@ -64,17 +87,6 @@ def kernel(a: np.ndarray, b: np.ndarray, matrix: Matrix, missing: Missing, n_loc
         return (gone * float(n_loci) / present[None, :]).astype(np.float32)
 
 
-def _blocks(nodes: DataFrame, block: int) -> DataFrame:
-    """(block, body): the node ids and codes of a block, packed."""
-    rows = nodes.groupBy(F.expr(f"cast(node_id div {block} as int)").alias("block"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("node_id", "codes"))).alias("body"))
-
-
-def _unpacked(body: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    ids, codes = body.values.flatten()
-    return ids.to_numpy(zero_copy_only=False), codes.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-
 def locus_facts(nodes: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
     """(rows, loci, present in all rows, chance that two rows both have the locus);
     a row a locus reaches the driver."""
@@ -84,6 +96,66 @@ def locus_facts(nodes: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
     return n, len(p), p == n, p * (p - 1) / (n * (n - 1)) if n > 1 else np.zeros(len(p))
 
 
+#: A rectangle of the matrix: first row and column, ids and float32 values by row.
+RECTANGLES = "i binary, j binary, d binary"
+
+
+def rectangles(nodes: DataFrame, matrix: Matrix = Matrix.SYMMETRIC, missing: Missing = Missing.PAIR_DELETE, penalty: float = 0.5, block: int = BLOCK, cells: bool = False) -> DataFrame:
+    """The matrix in rectangles (ids of the rows and of the columns, int64, and the
+    values, float32, as bytes); with ``cells`` as (i, j, d) rows.  Every pair of nodes
+    is in one rectangle, each way; no rectangle has more than block x block cells."""
+    n, loci, everywhere, rarity = locus_facts(nodes)
+    half = matrix in (Matrix.SYMMETRIC, Matrix.BLOCKWISE)
+    spark, count = nodes.sparkSession, -(-n // block)
+
+    def unit(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d = kernel(a, b, matrix, missing, loci, penalty, everywhere, rarity)
+        d[ia[:, None] == ib[None, :]] = 0
+        for x, y, z in ((ia, ib, d), (ib, ia, d.T))[: 2 if half and ia[0] != ib[0] else 1]:
+            if cells:
+                cols = [np.repeat(x, len(y)), np.tile(y, len(x)), np.ascontiguousarray(z).reshape(-1).astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "d"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y, np.ascontiguousarray(z))], ["i", "j", "d"])
+
+    schema = "i long, j long, d double" if cells else RECTANGLES
+    if n * loci * 4 <= BROADCAST_BYTES:
+        held = nodes.select("node_id", "codes").orderBy("node_id").toArrow()  # BROADCAST_BYTES at most
+        ids = held.column("node_id").to_numpy()
+        codes = packed(held.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, loci) if n else np.zeros((0, loci), np.int32))
+
+        def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for k in rows.column(0).to_pylist():
+                    a = slice(k * block, (k + 1) * block)
+                    for m in range(k if half else 0, count):
+                        b = slice(m * block, (m + 1) * block)
+                        yield from unit(ids[a], codes[a], ids[b], codes[b])
+
+        tasks = max(1, min(count, 4 * spark.sparkContext.defaultParallelism))
+        turn = F.expr(f"if(id % 2 = 0, id div 2, {count} - 1 - id div 2)")  # long strips of a half matrix beside short ones
+        return spark.range(0, count, 1, tasks).select(turn.alias("k")).mapInArrow(strips, schema)
+
+    rows = nodes.groupBy(F.expr(f"cast(node_id div {block} as int)").alias("block"))
+    blocks = rows.agg(F.array_sort(F.collect_list(F.struct("node_id", "codes"))).alias("body"))
+    tiles = F.sequence(F.lit(0), F.lit(max(0, (count - 1) // TILE)))
+    own = F.expr(f"block div {TILE}").cast("int")
+    left = blocks.select(own.alias("ta"), F.explode(tiles).alias("tb"), F.lit(0).alias("side"), "block", "body")
+    right = blocks.select(F.explode(tiles).alias("ta"), own.alias("tb"), F.lit(1).alias("side"), "block", "body")
+    met = left.unionByName(right).filter(F.col("ta") <= F.col("tb") if half else F.lit(True))
+
+    def tile(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        for side, k, body in zip(table.column("side").to_pylist(), table.column("block").to_pylist(), table.column("body"), strict=True):
+            ids, codes = body.values.flatten()
+            sides[side].append((k, ids.to_numpy(zero_copy_only=False), codes.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)))
+        out = [x for ka, ia, a in sides[0] for kb, ib, b in sides[1] if not half or ka <= kb for x in unit(ia, a, ib, b)]
+        kinds = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())]) if cells else pa.schema([(c, pa.binary()) for c in "ijd"])
+        return pa.Table.from_batches(out, kinds)
+
+    return met.groupBy("ta", "tb").applyInArrow(tile, schema)
+
+
 def distances(nodes: DataFrame, matrix: Matrix = Matrix.SYMMETRIC, missing: Missing = Missing.PAIR_DELETE, penalty: float = 0.5, block: int = BLOCK) -> DataFrame:
     """(i, j, d) for every ordered pair; d is a float32 value as a double.
 
@@ -91,34 +163,30 @@ def distances(nodes: DataFrame, matrix: Matrix = Matrix.SYMMETRIC, missing: Miss
     0.  ``complete`` deletion compares loci that all rows have, of those that have
     a gap somewhere.  No nodes give no rows.
     """
-    n, loci, everywhere, rarity = locus_facts(nodes)
-    blocks = _blocks(nodes, block)
-    half = matrix in (Matrix.SYMMETRIC, Matrix.BLOCKWISE)
-    left = blocks.select(F.col("block").alias("a"), F.col("body").alias("rows_a"))
-    right = blocks.select(F.col("block").alias("b"), F.col("body").alias("rows_b"))
-    count = -(-n // block)
-    wanted = F.col("a") <= F.col("b") if half else F.lit(True)
-    if n * loci * 4 <= BROADCAST_BYTES:
-        spread = min(max(1, count), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        pairs = left.repartition(spread, "a").join(F.broadcast(right), wanted)
-    else:
-        to = F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1))))
-        pairs = left.withColumn("b", to).join(right.withColumn("a", to), ["a", "b"]).filter(wanted)
+    return rectangles(nodes, matrix, missing, penalty, block, cells=True)
+
+
+def cells_of(rects: DataFrame) -> DataFrame:
+    """(i, j, d) rows of rectangles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for at in range(rows.num_rows):
-                (ia, a), (ib, b) = (_unpacked(rows.column(c)[at]) for c in (0, 1))
-                d = kernel(a, b, matrix, missing, loci, penalty, everywhere, rarity)
-                d[ia[:, None] == ib[None, :]] = 0
-                turns = [(ia, ib, d)]
-                if half and ia[0] != ib[0]:
-                    turns.append((ib, ia, d.T))
-                for x, y, z in turns:
-                    cols = [np.repeat(x, len(y)), np.tile(y, len(x)), np.ascontiguousarray(z).reshape(-1).astype(np.float64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "d"])
-
-    return pairs.select("rows_a", "rows_b").mapInArrow(run, "i long, j long, d double")
+            for i, j, d in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                i, j = np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
+                cols = [np.repeat(i, len(j)), np.tile(j, len(i)), np.frombuffer(d, np.float32).astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "d"])
+
+    return rects.mapInArrow(run, "i long, j long, d double")
+
+
+def as_matrix(batches: Iterator[pa.RecordBatch], n: int) -> np.ndarray:
+    """The whole matrix (float32, n x n) of rectangles over nodes 0 to n - 1, filled in as they come."""
+    out = np.zeros((n, n), np.float32)
+    for rows in batches:
+        for i, j, d in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            i, j = np.frombuffer(i, np.int64), np.frombuffer(j, np.int64)
+            out[i[0] : i[-1] + 1, j[0] : j[-1] + 1] = np.frombuffer(d, np.float32).reshape(len(i), len(j))
+    return out
 
 
 def distances_sql(nodes: DataFrame, missing: Missing = Missing.PAIR_DELETE) -> DataFrame:

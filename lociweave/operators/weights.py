@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +29,18 @@ def harmonic(nodes: DataFrame, dist: DataFrame) -> DataFrame:
     return _ranked(mean.join(nodes.select("node_id", "n_str"), "node_id"), "h", F.desc("n_str"), "node_id")
 
 
-def harmonic_exact(nodes: DataFrame, dist: DataFrame) -> DataFrame:
-    """Like harmonic() in float32 throughout, summed as NumPy sums a row."""
+def harmonic_exact(nodes: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Like harmonic() in float32 throughout, summed as NumPy sums a row; from the
+    rectangles of the matrix, whose rows meet a block at a time."""
 
-    def mean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            h = [float(np.float32(len(r)) / np.sum(np.float32(1) / (np.array(r, np.float32) + np.float32(0.1)))) for r in f["row"]]
-            yield pd.DataFrame({"node_id": f["node_id"], "h": h})
+    def mean(table: pa.Table) -> pa.Table:
+        ids = np.frombuffer(table.column("i")[0].as_py(), np.int64)
+        parts = sorted((np.frombuffer(j, np.int64)[0], d) for j, d in zip(table.column("j").to_pylist(), table.column("d").to_pylist(), strict=True))
+        strip = np.hstack([np.frombuffer(d, np.float32).reshape(len(ids), -1) for _, d in parts])
+        total = np.sum(np.float32(1) / (strip + np.float32(0.1)), axis=1)
+        return pa.table({"node_id": ids, "h": (np.float32(strip.shape[1]) / total).astype(np.float64)})
 
-    rows = dist.groupBy(F.col("i").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("j", "d"))).alias("r"))
-    rows = rows.select("node_id", F.transform("r", lambda x: x["d"]).alias("row")).mapInPandas(mean, "node_id long, h double")
+    rows = rectangles.groupBy("i").applyInArrow(mean, "node_id long, h double")
     return _ranked(rows.join(nodes.select("node_id", "n_str"), "node_id"), "h", F.desc("n_str"), "node_id")
 
 
