@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..plans.params import Missing
 
 FAN_IN = 8
+#: Edges that a task gathers before it reduces them to their forest.
+AT_ONCE = 2_000_000
 
 
 def costs(dist: DataFrame, weights: DataFrame) -> DataFrame:
@@ -29,31 +31,47 @@ def costs(dist: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def kruskal(f: pd.DataFrame) -> pd.DataFrame:
-    """The spanning forest of edges (i, j, cost)."""
+    """The spanning forest of edges (i, j, cost), the one that taking them by (cost, i,
+    j) gives.  That order is total, so rounds in which every component takes its first
+    edge outwards find the same edges, with arrays."""
     order = np.lexsort((f["j"].to_numpy(), f["i"].to_numpy(), f["cost"].to_numpy()))
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    kept = []
-    i, j = f["i"].to_numpy(), f["j"].to_numpy()
-    for k in order.tolist():
-        a, b = root(int(i[k])), root(int(j[k]))
-        if a != b:
-            parent[b] = a
-            kept.append(k)
-    return f.iloc[kept]
+    names, ends = np.unique(np.concatenate([f["i"].to_numpy()[order], f["j"].to_numpy()[order]]), return_inverse=True)
+    a, b = ends[: len(order)], ends[len(order) :]
+    label, at, kept = np.arange(len(names)), np.arange(len(order)), []
+    while len(at):
+        x, y = label[a[at]], label[b[at]]
+        apart = x != y
+        at, x, y = at[apart], x[apart], y[apart]
+        if not len(at):
+            break
+        both = np.concatenate([x, y])
+        first = np.full(len(names), len(at))
+        np.minimum.at(first, both, np.tile(np.arange(len(at)), 2))
+        picks = np.unique(first[first < len(at)])
+        kept.append(at[picks])
+        up = np.arange(len(names))
+        for p, q in zip(x[picks].tolist(), y[picks].tolist(), strict=True):
+            while up[p] != p:
+                up[p] = p = up[up[p]]
+            while up[q] != q:
+                up[q] = q = up[up[q]]
+            up[q] = p
+        while (up != up[up]).any():
+            up = up[up]
+        label = up[label]
+    return f.iloc[np.sort(order[np.concatenate(kept)])] if kept else f.iloc[:0]
 
 
 def _local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = None
+    held, n = [], 0
     for f in frames:
-        held = kruskal(f if held is None else pd.concat([held, f]))
-    if held is not None:
-        yield held
+        held.append(f)
+        n += len(f)
+        if n >= AT_ONCE:
+            held = [kruskal(pd.concat(held))]
+            n = 0
+    if held:
+        yield kruskal(pd.concat(held))
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:

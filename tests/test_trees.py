@@ -5,13 +5,15 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lociweave.functions.synthetic import synthetic_profile
 from lociweave.operators import branching, margin, mst, network, nj, recraft, tree
 from lociweave.plans import pipelines
 from lociweave.plans.estimate import check_report
 from lociweave.plans.params import Matrix, Method, Params
 from lociweave.sources import profiles
 
-TINY = "#n\ta\tb\tc\td\te\nA\t1\t1\t1\t1\t1\nB\t1\t2\t1\t1\t1\nC\t1\t2\t2\t1\t1\nD\t3\t2\t2\t1\t1\nE\t1\t1\t1\t2\t2"
+#: Four samples in a row, each one locus from the next.
+CHAIN = "#n\ta\tb\tc\td\nP\t1\t1\t1\t1\nQ\t1\t1\t1\t2\nR\t1\t1\t3\t2\nS\t4\t1\t3\t2"
 KERNELS = (branching.ordered_branching, branching.dense_branching, branching.lazy_branching)
 
 
@@ -54,13 +56,38 @@ def test_branchings_cost_the_same():
 
 
 def test_branching_of_a_chain(spark):
-    chain = np.full((4, 4), 9.0)
-    for i in range(3):
-        chain[i, i + 1] = 1
+    """2 to 0 to 3 to 1 costs 6; any other root needs an edge of 8."""
+    chain = np.full((4, 4), 8.0)
+    for s, t, c in ((2, 0, 2), (0, 3, 1), (3, 1, 3)):
+        chain[s, t] = c
     for f in KERNELS:
-        assert sorted(f(chain)) == [(0, 1), (1, 2), (2, 3)]
+        assert sorted(f(chain)) == [(0, 3), (2, 0), (3, 1)]
     text = "\n".join("\t".join(map(str, row)) for row in chain)
-    assert sorted(map(tuple, pipelines.branching_of_matrix(spark, text=text).collect())) == [(0, 1), (1, 2), (2, 3)]
+    assert sorted(map(tuple, pipelines.branching_of_matrix(spark, text=text).collect())) == [(0, 3), (2, 0), (3, 1)]
+
+
+def plain_kruskal(rows):
+    up, out = {}, []
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for c, i, j in sorted((c, i, j) for i, j, c in rows):
+        if root(i) != root(j):
+            up[root(j)] = root(i)
+            out.append((i, j, c))
+    return sorted(out)
+
+
+def test_kruskal_against_a_loop():
+    r = random.Random(15)
+    for _ in range(60):
+        n = r.randint(2, 25)
+        rows = [(i, j, float(r.randint(1, 4))) for i in range(n) for j in range(i + 1, n) if r.random() < 0.4]
+        got = mst.kruskal(pd.DataFrame(rows, columns=["i", "j", "cost"]))
+        assert sorted(map(tuple, got.itertuples(index=False))) == plain_kruskal(rows)
 
 
 def test_kruskal_in_parts(spark):
@@ -72,11 +99,20 @@ def test_kruskal_in_parts(spark):
     assert got == list(zip(want["i"], want["j"])) and len(got) == 29
 
 
-@pytest.mark.parametrize("given", [{"method": "MSTree"}, {"method": "MSTreeV2"}, {"method": "MSTreeV2", "recraft_mode": "native", "native": True}, {"method": "MSTreeV2", "missing": 1}])
-def test_tiny_tree(spark, given):
-    profile = profiles.read_profile(spark, text=TINY)
-    got = [r["newick"] for r in pipelines.run(profile, **given).collect()]
-    assert got == (["(E:2,((D:1,C:0):1,B:0):1,A:0);"] if given.get("missing") != 1 else [])
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        # weights by neighbours at 1, then 2: Q, R, P, S; the edges are the row itself, from P on
+        ({"method": "MSTree"}, ["(((S:1,R:0):1,Q:0):1,P:0);"]),
+        # the same order by harmonic means; Q absorbs P and R, and R absorbs S; the first branch is Q's to R
+        ({"method": "MSTreeV2"}, ["((S:1,R:0):1,P:1,Q:0);"]),
+        ({"method": "MSTreeV2", "recraft_mode": "native", "native": True}, ["((S:1,R:0):1,P:1,Q:0);"]),
+        ({"method": "MSTreeV2", "missing": 1}, []),  # no locus has a gap, so none is kept
+    ],
+)
+def test_chain_by_hand(spark, given, want):
+    got = pipelines.run(profiles.read_profile(spark, text=CHAIN), **given)
+    assert [r["newick"] for r in got.collect()] == want
 
 
 def test_groups_and_edge_cases(spark):
@@ -116,6 +152,20 @@ def test_neighbour_joining_of_an_additive_matrix():
     assert nj.neighbour_joining(np.array([[0.0, 2], [2, 0]]), ["x", "y"]) == "(x:2,y:0);"
 
 
+def test_joined_trees_are_rooted_and_tidied(spark):
+    text = "((x:0.05,b:2):4,c:2,d:9);"
+    out = nj.post_processed(text, {"x": ["x1", "x2"], "b": ["b"], "c": ["c"], "d": ["d"]})
+    root = tree.parse_newick(out)
+    leaves = {n.name: n.length for n in tree.walk(root) if not n.children}
+    assert sorted(leaves) == ["b", "c", "d", "x1", "x2"] and len(root.children) > 2
+    assert leaves["x1"] == leaves["x2"] == 0 and leaves["b"] == 2.05 and leaves["d"] == 9
+    made = synthetic_profile(spark, 12, 40, mutation=0.3, duplicates=0.2, seed=4)
+    plain = tree.parse_newick(pipelines.run(made, method="NJ").first()["newick"])
+    rooted = tree.parse_newick(pipelines.neighbour_joining(made, Params.of(method="NJ"), post_process=True).first()["newick"])
+    assert sorted(n.name for n in tree.walk(plain) if not n.children) == sorted(n.name for n in tree.walk(rooted) if not n.children)
+    assert tree.splits(plain) == tree.splits(rooted)
+
+
 def test_shortcuts_and_lent_rows():
     # C takes over nothing: it is absorbed by B before it could lend
     d = np.array([[0, 1, 2], [1, 0, 1], [2, 1, 0]], np.float32)
