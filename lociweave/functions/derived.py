@@ -1,4 +1,5 @@
-"""Profiles derived from embedding vectors, for queries over whole tables."""
+"""Profiles derived from embedding vectors, for queries over whole tables: every row
+of the table, and as many of its dimensions as the rule names (64 or the first 6)."""
 
 from __future__ import annotations
 
@@ -9,7 +10,9 @@ WIDE = "CASE WHEN (vec_id * 31 + k * 17) % 11 = 0 THEN '0' ELSE cast(cast(floor(
 NARROW = "cast(cast(floor(x * 4) AS int) + 10 AS string)"
 CLONAL = "CASE WHEN abs(x) > 0.3125 THEN cast(6 + vec_id % 9 AS string) ELSE cast((label * 7 + k) % 5 + 1 AS string) END"
 CLONAL_MISS = f"CASE WHEN (vec_id * 31 + k * 17) % 37 = 0 THEN '0' ELSE {CLONAL} END"
-RULES = {"emb_wide": (WIDE, 64), "emb_narrow": (NARROW, 6), "emb_clonal": (CLONAL, 64), "emb_clonal_miss": (CLONAL_MISS, 64)}
+NARROW_MISS = f"CASE WHEN (vec_id * 31 + k * 17) % 11 = 0 THEN '0' ELSE {NARROW} END"
+GAPS = f"CASE WHEN vec_id % 5 = 0 AND k % 2 = 0 THEN 'n' WHEN vec_id % 5 = 0 THEN '-' ELSE {NARROW} END"
+RULES = {"emb_narrow_miss": (NARROW_MISS, 6), "emb_gaps": (GAPS, 6), "emb_wide": (WIDE, 64), "emb_narrow": (NARROW, 6), "emb_clonal": (CLONAL, 64), "emb_clonal_miss": (CLONAL_MISS, 64)}
 
 
 def derived_profile(embeddings: DataFrame, rule: str) -> DataFrame:

@@ -32,8 +32,9 @@ def estimate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seconds", pick(0, LEAST_SECONDS)).withColumn("bytes", pick(1, LEAST_BYTES))
 
 
-def check_report(rows: DataFrame, available_bytes: float) -> DataFrame:
-    """One JSON line a row: time, memory and whether the memory is there."""
+def check_report(rows: DataFrame, available_bytes: float, *kept: str) -> DataFrame:
+    """One JSON line a row: time, memory and whether the memory is there; after the
+    columns ``kept``."""
     out = estimate(rows)
     fits = F.col("bytes") < F.lit(float(available_bytes))
-    return out.select(F.to_json(F.struct(F.col("seconds").alias("time"), F.col("bytes").alias("memory"), fits.alias("affordable"))).alias("report"))
+    return out.select(*kept, F.to_json(F.struct(F.col("seconds").alias("time"), F.col("bytes").alias("memory"), fits.alias("affordable"))).alias("report"))

@@ -1,15 +1,20 @@
 """Whole methods: from a profile to a matrix or a tree.
 
-The relational stages are DataFrame plans.  The kernels that are sequential by
-nature (contraction, refinement, joining, the tree's text) get one profile's
-matrix in one task; a matrix of n nodes takes 4 n^2 bytes there, which is what
-bounds a profile.  Many profiles run side by side, one a task.
+The relational stages are DataFrame plans, and distances are made by all tasks.  The
+kernels that are sequential by nature (contraction, refinement, joining, the
+tree's text) run in one task per profile, which is filled with the finished matrix:
+4 n^2 bytes of it, 4 m^2 for the m nodes that no shortcut absorbs, and 12 m a
+contracted component; neighbour joining takes 8 n^2 more.  That bounds a profile.
+Many profiles run side by side, one a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +25,6 @@ from ..sources import sinks
 from .params import Heuristic, Matrix, Method, Missing, Params
 
 
-def _codes(f: pd.DataFrame) -> np.ndarray:
-    return np.array(f["codes"].tolist(), np.int64).reshape(len(f), -1)
-
-
-def full_matrix(codes: np.ndarray, matrix: Matrix, missing: Missing, penalty: float = 0.5) -> np.ndarray:
-    n, p = len(codes), (codes > 0).sum(0)
-    rare = p * (p - 1) / (n * (n - 1)) if n > 1 else np.zeros(len(p))
-    out = np.vstack([distance.kernel(codes[a : a + 512], codes, matrix, missing, codes.shape[1], penalty, p == n, rare) for a in range(0, n, 512)]) if n else np.zeros((0, 0), np.float32)
-    np.fill_diagonal(out, 0)
-    return out
-
-
 def distance_matrix(profile: DataFrame, params: Params) -> DataFrame:
     """Cells of the PHYLIP matrix: see sinks.phylip_cells.  Divided by the number of
     loci except where distances are absolute or block-wise."""
@@ -42,24 +35,32 @@ def distance_matrix(profile: DataFrame, params: Params) -> DataFrame:
     return sinks.phylip_cells(nodes, dist, None if plain or first is None else float(first[0]))
 
 
+def matrix_of(nodes: DataFrame, matrix: Matrix, missing: Missing) -> DataFrame:
+    """The rectangles of a matrix, written once."""
+    return stash(distance.rectangles(nodes, matrix, missing), "matrix")
+
+
 def network_edges(nodes: DataFrame, params: Params, weights: DataFrame | None = None) -> DataFrame:
     """(ord, src, tgt, brlen) of the directed network, refined where asked; weights
-    are those of the asymmetric distances unless given."""
+    are those of the asymmetric distances unless given, harmonic ones in float32."""
+    rects = matrix_of(nodes, Matrix.ASYMMETRIC, params.missing)
     if weights is None:
-        weights = node_weights.weights(nodes, distance.distances(nodes, Matrix.ASYMMETRIC, params.missing), params.heuristic)
+        harmonic = params.heuristic is Heuristic.HARMONIC
+        weights = node_weights.harmonic_exact(nodes, rects) if harmonic else node_weights.eburst(nodes, distance.cells_of(rects))
+    w = np.array([r["weight"] for r in weights.select("node_id", "weight").orderBy("node_id").collect()])  # a number a node of one matrix
+    first = nodes.select(F.size("codes")).first()
+    loci = first[0] if first else 0
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node_id")
-        codes, w = _codes(f), f["weight"].to_numpy()
-        d = full_matrix(codes, Matrix.ASYMMETRIC, params.missing)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = distance.as_matrix(batches, len(w))
         edges = network.asymmetric_network(d, w, params.native)
         if params.recraft and edges:
-            edges = recraft.recraft(edges, d, w, codes.shape[1], "native" if params.native else params.recraft_mode)
-        ids = f["node_id"].to_numpy()
-        return pd.DataFrame([(k, ids[s], ids[t], float(x)) for k, (s, t, x) in enumerate(edges)], columns=["ord", "src", "tgt", "brlen"])
+            edges = recraft.recraft(edges, d, w, loci, "native" if params.native else params.recraft_mode)
+        src, tgt, length = ([e[k] for e in edges] for k in range(3))
+        cols = [pa.array(range(len(edges)), pa.int64()), pa.array(src, pa.int64()), pa.array(tgt, pa.int64()), pa.array(length, pa.float64())]
+        yield pa.RecordBatch.from_arrays(cols, ["ord", "src", "tgt", "brlen"])
 
-    rows = nodes.select("node_id", "codes").join(weights.select("node_id", "weight"), "node_id")
-    return rows.groupBy().applyInPandas(run, "ord long, src long, tgt long, brlen double")
+    return rects.coalesce(1).mapInArrow(run, "ord long, src long, tgt long, brlen double")
 
 
 def tree_edges(profile: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
@@ -90,16 +91,23 @@ def newick_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.cogroup(two).applyInPandas(run, "newick string")
 
 
-def neighbour_joining(profile: DataFrame, params: Params) -> DataFrame:
-    """(newick) over symmetric distances, whatever matrix is named."""
+def neighbour_joining(profile: DataFrame, params: Params, post_process: bool = False) -> DataFrame:
+    """(newick) over symmetric distances, whatever matrix is named; ``post_process``
+    roots it in its middle and collapses tiny branches, as is done to the trees of
+    external programs."""
     nodes = encode.nodes_of(profile, params.missing)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node_id")
-        d = full_matrix(_codes(f), Matrix.SYMMETRIC, params.missing)
-        return pd.DataFrame({"newick": [nj.neighbour_joining(d, [nj.group_label(list(m)) for m in f["members"]])]})
-
-    return nodes.groupBy().applyInPandas(run, "newick string")
+    labels = [list(r["members"]) for r in nodes.select("node_id", "members").orderBy("node_id").collect()]  # the rows of one matrix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = distance.as_matrix(batches, len(labels))
+        if post_process and len(labels) > 2:
+            keys = [f"n{k}" for k in range(len(labels))]
+            text = nj.post_processed(nj.neighbour_joining(d, keys), dict(zip(keys, labels, strict=True)))
+        else:
+            text = nj.neighbour_joining(d, [nj.group_label(m) for m in labels])
+        yield pa.RecordBatch.from_arrays([pa.array([text])], ["newick"])
+
+    return matrix_of(nodes, Matrix.SYMMETRIC, params.missing).coalesce(1).mapInArrow(run, "newick string")
 
 
 def run(profile: DataFrame, **given) -> DataFrame:

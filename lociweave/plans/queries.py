@@ -6,12 +6,13 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alleles import UNSAFE, is_locus, safe_name
 from ..functions.derived import cells_sql, derived_profile
-from ..functions.storage import shared_folder, stash
+from ..functions.storage import stage_folder, stash
 from ..operators import branching, distance, encode, margin, mst, network, tree
 from ..operators import weights as node_weights
 from ..sources import profiles, sinks
@@ -64,13 +65,41 @@ def read_profile_text(spark, sf_dir):
     rows = _profile(spark, sf_dir, "emb_clonal_miss")
     lines = rows.select("row_idx", F.concat_ws("\t", "name", F.array_join("alleles", "\t")).alias("line"))
     header = "#name\t" + "\t".join(f"locus{k}" for k in range(64))
-    folder = f"{shared_folder(spark)}/lociweave/profile-{uuid.uuid4().hex}"
-    text = spark.createDataFrame([(-1, header)], "row_idx long, line string").unionByName(lines)
-    text.repartition(1).sortWithinPartitions("row_idx").select("line").write.text(folder)  # a profile is one file by nature
-    back = profiles.read_profile(spark, path=folder)
+    text = spark.createDataFrame([(-1, header)], "row_idx long, line string").unionByName(lines).withColumn("part", F.lit(0))
+    back = profiles.read_profile(spark, path=_written(spark, text))
     return back.select("name", F.array_join("alleles", ",").alias("alleles"))
 
 
+def _written(spark: SparkSession, lines: DataFrame, **how) -> str:
+    """The lines (row_idx, part, line) as one file, as a profile is by nature."""
+    folder = f"{stage_folder(spark)}/text-{uuid.uuid4().hex}"
+    lines.repartition(1).sortWithinPartitions("row_idx", "part").select("line").write.text(folder, **how)
+    return folder
+
+
+def read_profile_headers(spark, sf_dir):
+    """Comments, two headers of which the last counts, columns that aren't loci, blank
+    lines, unsafe names and lower-case alleles."""
+    rows = _profile(spark, sf_dir, "emb_narrow").withColumn("a", F.transform("alleles", lambda a: F.concat(F.lit("x"), a)))
+    name = F.concat("name", F.lit(" ('a');"))
+    body = rows.select("row_idx", F.lit(0).alias("part"), F.concat_ws("\t", name, F.lit("7"), F.array_join(F.slice("a", 1, 3), "\t"), F.lit("note"), F.array_join(F.slice("a", 4, 3), "\t")).alias("line"))
+    blank = rows.select("row_idx", F.lit(1).alias("part"), F.lit("  ").alias("line"))
+    head = [(-4, 0, "##made for a query"), (-3, 0, "#name\told"), (-2, 0, "## again"), (-1, 0, "#name\tST\tl0\tl1\tl2\t#note\tl3\tl4\tl5")]
+    text = spark.createDataFrame(head, "row_idx long, part int, line string").unionByName(body).unionByName(blank)
+    back = profiles.read_profile(spark, path=_written(spark, text))
+    return back.select("name", F.array_join("alleles", ",").alias("alleles"))
+
+
+def read_fasta_gzip(spark, sf_dir):
+    """An alignment of lower-case letters over two lines a record, zipped."""
+    rows = _profile(spark, sf_dir, "emb_clonal")
+    letters = F.transform("alleles", lambda a: F.substring(F.lit("acgt"), a.cast("int") % 4 + 1, F.lit(1)))
+    halves = [F.concat(F.lit(">"), "name", F.lit(" made up")), F.array_join(F.slice(letters, 1, 32), ""), F.array_join(F.slice(letters, 33, 32), "")]
+    text = rows.select("row_idx", F.posexplode(F.array(*halves)).alias("part", "line"))
+    back = profiles.read_profile(spark, path=_written(spark, text, compression="gzip"))
+    return back.select("name", F.array_join("alleles", "").alias("sequence"))
+
+
 # -- distances ----------------------------------------------------------------
 
 
@@ -105,6 +134,12 @@ def _weights(rule: str, matrix: Matrix, which):
     return query
 
 
+def weights_harmonic_exact(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir, "emb_clonal_miss")
+    rects = pipelines.matrix_of(nodes, Matrix.ASYMMETRIC, PAIR)
+    return node_weights.harmonic_exact(nodes, rects).select("node_id", "rank", F.round("weight", 9).alias("weight"))
+
+
 # -- trees --------------------------------------------------------------------
 
 
@@ -131,9 +166,13 @@ def mst_edges(spark, sf_dir):
     return edges.select("ord", "i", "j", F.round("cost", 6).alias("cost"))
 
 
-def _linked(spark, sf_dir):
-    nodes, edges = _symmetric(spark, sf_dir, "emb_narrow")
-    return nodes, mst.linked(edges.select("ord", F.col("i").alias("src"), F.col("j").alias("tgt")), nodes, PAIR)
+def _linked(spark, sf_dir, rule: str = "emb_narrow", missing: Missing = PAIR):
+    nodes, edges = _symmetric(spark, sf_dir, rule)
+    return nodes, mst.linked(edges.select("ord", F.col("i").alias("src"), F.col("j").alias("tgt")), nodes, missing)
+
+
+def _relinked(missing: Missing):
+    return lambda spark, sf_dir: _linked(spark, sf_dir, "emb_narrow_miss", missing)[1]
 
 
 def linked_edges(spark, sf_dir):
@@ -146,24 +185,28 @@ def tree_parents(spark, sf_dir):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         rows = f.sort_values("ord")[["src", "tgt", "len"]].itertuples(index=False, name=None)
         triples = [(int(a), int(b), int(x)) for a, b, x in rows]
-        return pd.DataFrame(tree.oriented(triples, len(triples) + 1), columns=["parent", "child", "len"])
+        return pd.DataFrame([(k, *e) for k, e in enumerate(tree.oriented(triples, len(triples) + 1))], columns=["ord", "parent", "child", "len"])
+
+    return edges.groupBy().applyInPandas(run, "ord long, parent long, child long, len long")
+
 
-    return edges.groupBy().applyInPandas(run, "parent long, child long, len long")
+def _float_weights(nodes: DataFrame, rects: DataFrame) -> np.ndarray:
+    w = node_weights.harmonic_exact(nodes, rects).orderBy("node_id").collect()
+    return np.array([r["weight"] for r in w])
 
 
 def arborescence(spark, sf_dir):
     """The optimum branching over quantised costs, in its order."""
-    nodes, dist, w = _asymmetric(spark, sf_dir, "emb_wide")
-    rows = nodes.select("node_id", "codes").join(w, "node_id")
+    nodes = _nodes(spark, sf_dir, "emb_wide")
+    rects = pipelines.matrix_of(nodes, Matrix.ASYMMETRIC, PAIR)
+    w = _float_weights(nodes, rects)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node_id")
-        d = pipelines.full_matrix(np.array(f["codes"].tolist()), Matrix.ASYMMETRIC, PAIR)
-        cost = network.quantised(d, f["weight"].to_numpy())
+    def run(batches):
+        cost = network.quantised(distance.as_matrix(batches, len(w)), w)
         edges = branching.ordered_branching(cost)
-        return pd.DataFrame([(k, s, t, float(cost[s, t])) for k, (s, t) in enumerate(edges)], columns=["ord", "src", "tgt", "cost"])
+        yield pa.RecordBatch.from_pandas(pd.DataFrame([(k, s, t, float(cost[s, t])) for k, (s, t) in enumerate(edges)], columns=["ord", "src", "tgt", "cost"]))
 
-    return rows.groupBy().applyInPandas(run, "ord long, src long, tgt long, cost double")
+    return rects.coalesce(1).mapInArrow(run, "ord long, src long, tgt long, cost double")
 
 
 def _network(rule: str, **given):
@@ -178,30 +221,56 @@ def _method(rule: str, **given):
     return lambda spark, sf_dir: pipelines.run(_profile(spark, sf_dir, rule), **given)
 
 
+def shortcut_edges(spark, sf_dir):
+    """The edges of the network that come from shortcuts, with their lengths."""
+    nodes, dist, w = _asymmetric(spark, sf_dir, "emb_clonal")
+    edges = pipelines.network_edges(nodes, Params.of(heuristic="harmonic", matrix="asymmetric", method="MSTree"), w)
+    short = network.shortcuts(dist, w, nodes.count())
+    return edges.join(short, ["src", "tgt"], "left_semi").select("src", "tgt", "brlen")
+
+
+def _leaves(rule: str, **given):
+    """The names of a tree's leaves, out of its text."""
+
+    def query(spark, sf_dir):
+        text = pipelines.run(_profile(spark, sf_dir, rule), **given)
+        return text.select(F.explode(F.regexp_extract_all("newick", F.lit("[(,]([^(),:;]+)[:,);]"), F.lit(1))).alias("name"))
+
+    return query
+
+
 def margin_report(spark, sf_dir):
-    nodes, dist, w = _asymmetric(spark, sf_dir, "emb_wide")
-    rows = nodes.select("node_id", "codes").join(w, "node_id")
+    nodes, dist, _ = _asymmetric(spark, sf_dir, "emb_wide")
+    rects = pipelines.matrix_of(nodes, Matrix.ASYMMETRIC, PAIR)
+    w = _float_weights(nodes, rects)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node_id")
-        d = pipelines.full_matrix(np.array(f["codes"].tolist()), Matrix.ASYMMETRIC, PAIR)
-        edges = branching.dense_branching(np.floor(d.astype(float) + 0.5) + f["weight"].to_numpy()[:, None])
-        return pd.DataFrame(margin.subtree_ranges(edges), columns=["node", "parent", "tin", "tout"])
+    def run(batches):
+        d = distance.as_matrix(batches, len(w))
+        edges = branching.dense_branching(np.floor(d.astype(float) + 0.5) + w[:, None])
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(margin.subtree_ranges(edges), columns=["node", "parent", "tin", "tout"]))
 
-    ranges = stash(rows.groupBy().applyInPandas(run, "node long, parent long, tin long, tout long"), "ranges")
+    ranges = stash(rects.coalesce(1).mapInArrow(run, "node long, parent long, tin long, tout long"), "ranges")
     return margin.margin_histogram(margin.margins(ranges, dist.filter("i <> j")))
 
 
 _CASES = [(m, x, p, loci, n) for m in ("MSTree", "NJ", "RapidNJ", "ninja", "distance") for x in ("symmetric", "asymmetric") for p in (1, 5) for loci in (7, 1500) for n in (100, 3000, 60000)]
 
 
+def check_reports(spark, sf_dir):
+    """The check lines of the cases, taken apart again."""
+    rows = spark.createDataFrame(_CASES, "method string, matrix string, n_proc long, n_loci long, n_profile long")
+    keys = ("method", "matrix", "n_proc", "n_loci", "n_profile")
+    back = estimates.check_report(rows, 1e9, *keys).withColumn("r", F.from_json("report", "time double, memory double, affordable boolean"))
+    return back.select(*keys, F.round("r.time", 3).alias("time"), F.round("r.memory", 0).alias("memory"), "r.affordable")
+
+
 def estimate(spark, sf_dir):
     rows = spark.createDataFrame(_CASES, "method string, matrix string, n_proc long, n_loci long, n_profile long")
     return estimates.estimate(rows).select("method", "matrix", "n_proc", "n_loci", "n_profile", F.round("seconds", 3).alias("seconds"), F.round("bytes", 0).alias("bytes"))
 
 
 QUERIES = {
-    f.__name__: f for f in (encode_alleles, complete_delete_columns, dedup_groups, sanitise_names, profile_columns, read_profile_text, phylip_cells, phylip_text, shortcuts, mst_edges, linked_edges, tree_parents, arborescence, margin_report, estimate)
+    f.__name__: f for f in (encode_alleles, complete_delete_columns, dedup_groups, sanitise_names, profile_columns, read_profile_text, phylip_cells, phylip_text, shortcuts, mst_edges, linked_edges, tree_parents, arborescence, margin_report, estimate, read_profile_headers, read_fasta_gzip, weights_harmonic_exact, shortcut_edges, check_reports)
 } | {
     "distance_pair_delete": _distance("emb_clonal_miss", Matrix.SYMMETRIC, PAIR),
     "distance_complete_delete": _distance("emb_clonal_miss", Matrix.SYMMETRIC, COMPLETE),
@@ -212,7 +281,6 @@ QUERIES = {
     "distance_wgmlst": _distance("emb_wide", Matrix.ASYMMETRIC_WGMLST, PAIR, 4),
     "distance_blockwise": _distance("emb_clonal_miss", Matrix.BLOCKWISE, PAIR),
     "weights_harmonic": _weights("emb_clonal_miss", Matrix.ASYMMETRIC, node_weights.harmonic),
-    "weights_harmonic_exact": _weights("emb_clonal_miss", Matrix.ASYMMETRIC, node_weights.harmonic_exact),
     "weights_eburst": _weights("emb_narrow", Matrix.SYMMETRIC, node_weights.eburst),
     "network_edges": _network("emb_clonal"),
     "network_edges_native": _network("emb_clonal", native=True),
@@ -221,7 +289,19 @@ QUERIES = {
     "mstreev2_newick": _method("emb_clonal_miss", method="MSTreeV2"),
     "mstree_newick": _method("emb_clonal_miss", method="MSTree"),
     "mstree_blockwise_newick": _method("emb_clonal_miss", method="MSTree", matrix="blockwise"),
+    "mstreev2_complete_newick": _method("emb_clonal_miss", method="MSTreeV2", missing=1),
+    "mstreev2_as_allele_newick": _method("emb_clonal_miss", method="MSTreeV2", missing=2),
+    "mstreev2_absolute_newick": _method("emb_clonal_miss", method="MSTreeV2", missing=3),
+    "mstreev2_leaves": _leaves("emb_clonal_miss", method="MSTreeV2"),
+    "mstree_leaves": _leaves("emb_clonal_miss", method="MSTree"),
+    "nj_leaves": _leaves("emb_clonal_miss", method="NJ"),
     "nj_newick": _method("emb_clonal_miss", method="NJ"),
+    "rapidnj_newick": _method("emb_clonal_miss", method="RapidNJ"),
+    "ninja_newick": _method("emb_clonal_miss", method="ninja"),
+    "nj_rooted_newick": lambda spark, sf_dir: pipelines.neighbour_joining(_profile(spark, sf_dir, "emb_clonal_miss"), Params.of(method="NJ"), post_process=True),
+    "dropped_rows": lambda spark, sf_dir: _nodes(spark, sf_dir, "emb_gaps").select("node_id", F.array_join("members", ",").alias("members")),
+    "linked_complete_delete": _relinked(COMPLETE),
+    "linked_as_allele": _relinked(ALLELE),
 }
 
 
@@ -290,27 +370,38 @@ tre AS (SELECT i, j, cost, row_number() OVER (ORDER BY i, cost, j) - 1 AS ord FR
 lnk AS (SELECT ord, t.i AS src, t.j AS tgt, pd AS len FROM tre t JOIN prs p ON p.i = t.i AND p.j = t.j)"""
 
 
-def _tree_sql(tail: str) -> str:
-    head = f"WITH RECURSIVE {_nodes_sql('emb_narrow')}, {_dist('pair')}, {_EBURST}, {_PRIM}"
+def _tree_sql(tail: str, rule: str = "emb_narrow", length: str = "pd") -> str:
+    head = f"WITH RECURSIVE {_nodes_sql(rule)}, {_dist('pair')}, {_EBURST}, {_PRIM.replace('pd AS len', f'{length} AS len')}"
     return f"{head} {tail}"
 
 
 _PARENTS = """,
-top AS (SELECT src FROM lnk ORDER BY len DESC, ord LIMIT 1),
-both_ways AS (SELECT src AS a, tgt AS b, len FROM lnk UNION ALL SELECT tgt, src, len FROM lnk),
-down AS (SELECT NULL::BIGINT AS parent, src AS child, NULL::BIGINT AS len FROM top
-         UNION ALL SELECT w.a, w.b, w.len FROM down d JOIN both_ways w ON w.a = d.child WHERE d.parent IS NULL OR w.b <> d.parent)
-SELECT parent, child, CAST(len AS BIGINT) AS len FROM down WHERE parent IS NOT NULL"""
+lst AS (SELECT src, tgt, len, row_number() OVER (ORDER BY len DESC, ord) AS pos FROM lnk),
+both_ways AS (SELECT src AS a, tgt AS b, len, pos FROM lst UNION ALL SELECT tgt, src, len, pos FROM lst),
+down AS (SELECT NULL::BIGINT AS parent, src AS child, NULL::BIGINT AS len, 0 AS pass, 0::BIGINT AS pos FROM lst WHERE pos = 1
+         UNION ALL SELECT w.a, w.b, w.len, d.pass + CASE WHEN w.pos < d.pos THEN 1 ELSE 0 END, w.pos
+         FROM down d JOIN both_ways w ON w.a = d.child WHERE d.parent IS NULL OR w.b <> d.parent)
+SELECT row_number() OVER (ORDER BY pass, pos) - 1 AS ord, parent, child, CAST(len AS BIGINT) AS len FROM down WHERE parent IS NOT NULL"""
 
 _SHORT = """,
-ky AS (SELECT i, j, CAST(CAST(d + CAST(a.weight AS FLOAT)::DOUBLE AS FLOAT) AS DOUBLE) AS k FROM dist JOIN wts a ON a.node_id = i JOIN wts b ON b.node_id = j
+ky AS (SELECT i, j, CAST(CAST(d + CAST(a.weight AS FLOAT)::DOUBLE AS FLOAT) AS DOUBLE) AS k, trunc(d + a.weight) AS brlen FROM dist JOIN wts a ON a.node_id = i JOIN wts b ON b.node_id = j
        WHERE a.weight < b.weight AND d < 1 + (SELECT CASE WHEN count(*) < 3000 THEN 2 WHEN count(*) < 10000 THEN 5 WHEN count(*) < 30000 THEN 10 ELSE 20 END FROM nodes))
-SELECT i AS src, j AS tgt FROM ky QUALIFY row_number() OVER (PARTITION BY j ORDER BY k, i) = 1"""
+SELECT i AS src, j AS tgt{brlen} FROM ky QUALIFY row_number() OVER (PARTITION BY j ORDER BY k, i) = 1"""
 
 _UNSAFE_SQL = UNSAFE.replace("'", "''")
 _CASES_SQL = ", ".join(f"('{m}', '{x}', {p}, {loci}, {n})" for m, x, p, loci, n in _CASES)
 _ASYM, _OTHER, _CUBE = estimates.ASYMMETRIC, estimates.OTHERS, estimates.CUBIC
 
+_ESTIMATE = f"""WITH c AS (SELECT method, matrix, CAST(p AS BIGINT) AS n_proc, CAST(l AS BIGINT) AS n_loci, CAST(n AS BIGINT) AS n_profile FROM (VALUES {_CASES_SQL}) t(method, matrix, p, l, n)),
+x AS (SELECT *, n_profile::DOUBLE AS q, n_loci::DOUBLE AS l, n_proc::DOUBLE AS p, method IN ('MSTree', 'RapidNJ', 'ninja') AS known FROM c),
+y AS (SELECT method, matrix, n_proc, n_loci, n_profile,
+  round(greatest(5.0::DOUBLE, CASE WHEN known AND matrix = 'asymmetric' THEN {_ASYM[0][0]!r}::DOUBLE * q * q + {_ASYM[0][1]}::DOUBLE + {_ASYM[0][2]!r}::DOUBLE * l * q * q / p
+     WHEN known THEN {_OTHER[0][0]!r}::DOUBLE * q * q + {_OTHER[0][1]}::DOUBLE + {_OTHER[0][2]!r}::DOUBLE * l * q * q / p
+     WHEN method = 'NJ' THEN {_CUBE[0]!r}::DOUBLE * q * q * q ELSE 5.0 END), 3) AS seconds,
+  round(greatest({estimates.LEAST_BYTES}::DOUBLE, CASE WHEN known AND matrix = 'asymmetric' THEN {_ASYM[1][0]}::DOUBLE * q * q + {_ASYM[1][1]}::DOUBLE
+     WHEN known THEN {_OTHER[1][0]}::DOUBLE * q * q + {_OTHER[1][1]}::DOUBLE
+     WHEN method = 'NJ' THEN greatest({_CUBE[1]}::DOUBLE * q * q * q, {_CUBE[2]}::DOUBLE * q - {_CUBE[3]}::DOUBLE) ELSE 0 END), 0) AS bytes FROM x)"""
+
 ORACLE_SQL = {
     "encode_alleles": f"WITH {_nodes_sql('emb_clonal_miss')} SELECT row_idx, CAST(locus AS INTEGER) AS locus, CAST(code AS BIGINT) AS code FROM enc",
     "complete_delete_columns": f"WITH {_nodes_sql('emb_clonal_miss')} SELECT CAST(locus AS BIGINT) AS locus FROM enc GROUP BY locus HAVING min(code) = 0",
@@ -337,17 +428,22 @@ alld AS (SELECT * FROM dist UNION ALL SELECT node_id, node_id, 0 FROM nodes)
 SELECT i AS row_node, a.name AS row_name, j AS col_node, b.name AS col_name, round(CAST(CAST(d / 6.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS cell FROM alld JOIN mem a ON a.node_id = i JOIN mem b ON b.node_id = j""",
     "weights_harmonic": f"WITH {_nodes_sql('emb_clonal_miss')}, {_dist('asymmetric')}, {_HARMONIC} {_WEIGHTS}",
     "weights_eburst": f"WITH {_nodes_sql('emb_narrow')}, {_dist('pair')}, {_EBURST} {_WEIGHTS}",
-    "shortcuts": f"WITH {_nodes_sql('emb_clonal')}, {_dist('asymmetric')}, {_HARMONIC} {_SHORT}",
+    "shortcuts": f"WITH {_nodes_sql('emb_clonal')}, {_dist('asymmetric')}, {_HARMONIC} {_SHORT.format(brlen='')}",
+    "shortcut_edges": f"WITH {_nodes_sql('emb_clonal')}, {_dist('asymmetric')}, {_HARMONIC} {_SHORT.format(brlen=', brlen')}",
+    "dropped_rows": f"WITH {_nodes_sql('emb_gaps')} SELECT node_id, array_to_string(members, ',') AS members FROM nodes",
+    "linked_complete_delete": _tree_sql("SELECT ord, src, tgt, CAST(len AS BIGINT) AS len FROM lnk", "emb_narrow_miss", "held"),
+    "linked_as_allele": _tree_sql("SELECT ord, src, tgt, CAST(len AS BIGINT) AS len FROM lnk", "emb_narrow_miss", "neq"),
+    "read_profile_headers": f"SELECT name || '___a___' AS name, string_agg('X' || allele, ',' ORDER BY locus) AS alleles FROM ({cells_sql('emb_narrow')}) GROUP BY row_idx, name",
+    "read_fasta_gzip": f"SELECT name, string_agg(substr('ACGT', CAST(allele AS INTEGER) % 4 + 1, 1), '' ORDER BY locus) AS sequence FROM ({cells_sql('emb_clonal')}) GROUP BY row_idx, name",
+    "phylip_text": f"""WITH {_nodes_sql("emb_clonal")}, {_dist("pair")},
+mem AS (SELECT node_id, unnest(members) AS name FROM nodes),
+alld AS (SELECT * FROM dist UNION ALL SELECT node_id, node_id, 0 FROM nodes)
+SELECT i AS row_node, a.name AS row_name, rpad(a.name, CAST(greatest(10, length(a.name)) AS INTEGER), ' ') || ' ' || string_agg(printf('%.6f', CAST(CAST(d / 64.0::DOUBLE AS FLOAT) AS DOUBLE)), ' ' ORDER BY j, b.name) AS line
+FROM alld JOIN mem a ON a.node_id = i JOIN mem b ON b.node_id = j GROUP BY i, a.name UNION ALL SELECT -1, '', '    ' || count(*) FROM mem""",
+    **{f"{m}_leaves": f"WITH {_nodes_sql('emb_clonal_miss')} SELECT unnest(members) AS name FROM nodes" for m in ("mstreev2", "mstree", "nj")},
     "mst_edges": _tree_sql("SELECT ord, i, j, round(cost, 6) AS cost FROM tre"),
     "linked_edges": _tree_sql("SELECT ord, src, tgt, CAST(len AS BIGINT) AS len FROM lnk"),
     "tree_parents": _tree_sql(_PARENTS),
-    "estimate": f"""WITH c AS (SELECT method, matrix, CAST(p AS BIGINT) AS n_proc, CAST(l AS BIGINT) AS n_loci, CAST(n AS BIGINT) AS n_profile FROM (VALUES {_CASES_SQL}) t(method, matrix, p, l, n)),
-x AS (SELECT *, n_profile::DOUBLE AS q, n_loci::DOUBLE AS l, n_proc::DOUBLE AS p, method IN ('MSTree', 'RapidNJ', 'ninja') AS known FROM c)
-SELECT method, matrix, n_proc, n_loci, n_profile,
-  round(greatest(5.0::DOUBLE, CASE WHEN known AND matrix = 'asymmetric' THEN {_ASYM[0][0]!r}::DOUBLE * q * q + {_ASYM[0][1]}::DOUBLE + {_ASYM[0][2]!r}::DOUBLE * l * q * q / p
-     WHEN known THEN {_OTHER[0][0]!r}::DOUBLE * q * q + {_OTHER[0][1]}::DOUBLE + {_OTHER[0][2]!r}::DOUBLE * l * q * q / p
-     WHEN method = 'NJ' THEN {_CUBE[0]!r}::DOUBLE * q * q * q ELSE 5.0 END), 3) AS seconds,
-  round(greatest({estimates.LEAST_BYTES}::DOUBLE, CASE WHEN known AND matrix = 'asymmetric' THEN {_ASYM[1][0]}::DOUBLE * q * q + {_ASYM[1][1]}::DOUBLE
-     WHEN known THEN {_OTHER[1][0]}::DOUBLE * q * q + {_OTHER[1][1]}::DOUBLE
-     WHEN method = 'NJ' THEN greatest({_CUBE[1]}::DOUBLE * q * q * q, {_CUBE[2]}::DOUBLE * q - {_CUBE[3]}::DOUBLE) ELSE 0 END), 0) AS bytes FROM x""",
+    "estimate": f"{_ESTIMATE} SELECT method, matrix, n_proc, n_loci, n_profile, seconds, bytes FROM y",
+    "check_reports": f"{_ESTIMATE} SELECT method, matrix, n_proc, n_loci, n_profile, seconds AS time, bytes AS memory, bytes < 1e9 AS affordable FROM y",
 }
