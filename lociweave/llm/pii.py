@@ -5,7 +5,8 @@ that no base span explains, a zone of text is cut into tokens and every segment
 of tokens that could be an entity is scored as a whole (digit count, grouping,
 check digit, separators, context words, clean ends).  A dynamic programme over
 the tokens picks boundaries and types of a whole zone at once; only the length of
-a segment is bounded, neither a zone nor the entities in it.  The weights are
+a segment is bounded, neither a zone nor the entities in it.  Every search takes
+time in proportion to the text, whatever its tokens are.  The weights are
 fitted here, by the conditional log-likelihood of zones that a small generator
 writes; no row of any table is learned from.
 """
@@ -26,26 +27,33 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 
-# Fixed patterns of the base spans.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Fixed patterns of the base spans.  An address is found from its "@": the name is
+# the run of NAME before it, DOMAIN what follows.  A run of digits that no address
+# begins with has none further on, so IP looks at the start of a run only.
+NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Most tokens of a segment.
+#: Most tokens of a segment, and most characters: the longest address that mail takes and its signs.
 SEGMENT_TOKENS = 24
+SEGMENT_CHARS = 320
 CONTEXT = 28
 #: Log-odds that a decoded path must have over the path without entities, an entity.
 MARGIN = 1.0
 
 _DIGIT = re.compile(r"[0-9]")
-#: What opens a zone: seven digits with few signs between, groups of hex and colons, written-out addresses.
-_ZONE = re.compile(
+#: What opens a zone: seven digits with few signs between, or groups of hex and colons,
+_NUMBERS = re.compile(
     r"\+?\(?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}"
     r"|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
-    r"|[A-Za-z0-9._%+-]+(?:\x20?[\[({]\x20?(?:at|AT|@|arobase)\x20?[\])}]\x20?|\x20(?:at|AT)\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]+(?:\x20?[\[({]?\x20?(?:\.|dot|DOT|point|punkt|punto)\x20?[\])}]?\x20?[A-Za-z0-9-]+){1,3}"
 )
-_MAYBE_ADDRESS = re.compile(r"@\x20|\x20@|[\[({]\x20?(?:at|AT|@|arobase)\x20?[\])}]|\x20(?:dot|DOT)\x20")
+#: and a written-out "at" after a name and before words with dots.
+_WRITTEN_AT = re.compile(r"\x20?[\[({]\x20?(?:at|AT|@|arobase)\x20?[\])}]\x20?|\x20(?:at|AT)\x20|\x20@\x20?|@\x20")
+_WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?[\[({]?\x20?(?:\.|dot|DOT|point|punkt|punto)\x20?[\])}]?\x20?[A-Za-z0-9-]++){1,3}")
+_MAYBE_ADDRESS = re.compile(r"@\x20|\x20@|[\[({]\x20?(?:at|AT|@|arobase)\x20?[\])}]|[\x20\[({](?:dot|DOT|point|punkt|punto)[\x20\])}]")
+_SHAPE = str.maketrans("012345678", "9" * 9)
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\w\s]|\s|\w")
 _TLD = frozenset("com org net de fr es io edu gov co uk info eu us ch at it".split())
 _AT, _DOT = frozenset(("at", "@", "arobase")), frozenset((".", "dot", "point", "punkt", "punto"))
@@ -58,9 +66,11 @@ _CONTEXT = {
 _NEGATIVE = re.compile(r"order|invoice|isbn|version|id\b|no\.|nr\.|ref|sku|date|datum|bestell|commande|pedido|ticket|serial|build|row|page", re.I)
 
 
+_DOUBLED = str.maketrans("0123456789", "0246813579")
+
+
 def luhn(digits: str) -> bool:
-    total = sum(d if i % 2 == 0 else (2 * d if d < 5 else 2 * d - 9) for i, d in enumerate(map(int, reversed(digits))))
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(int, digits[-2::-2].translate(_DOUBLED)))) % 10 == 0
 
 
 def _digits(text: str) -> str:
@@ -70,8 +80,15 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind and start."""
     out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    at, free = text.find("@"), 0  # the next name starts at ``free`` or later
+    while at >= 0:
+        name = at - free - len(text[free:at].rstrip(NAME))
+        if name and (m := DOMAIN.match(text, at + 1)):
+            out.append((0, at - name, m.end()))
+            free = m.end()
+        else:
+            free = at + 1
+        at = text.find("@", free)
     if not _DIGIT.search(text):
         return out
     out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
@@ -83,64 +100,91 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _number_features(kind: int, shape: str, zero: bool, checks: bool) -> tuple[str, ...] | None:
+    """Features of a card or phone number; ``shape`` has 9 for each digit, ``zero``
+    says whether the first is 0 and ``checks`` whether Luhn's rule holds."""
+    if not (shape[0] in "9(" or shape[0] == "+" and kind == 3) or shape[-1] != "9" or not re.fullmatch(r"\+?[9\x20().\-/]+", shape):
+        return None
+    n = shape.count("9")
+    if kind == 2 and not 13 <= n <= 19 or kind == 3 and not 7 <= n <= 15:
+        return None
+    groups = [len(g) for g in re.findall("9+", shape)]
+    seps = set(shape) - {"9"}
+    out = [f"n{n}" if n in (7, 8, 9, 10, 11, 12, 16) else "n-other", f"groups{min(5, len(groups))}"]
+    if kind == 2:
+        out += ["luhn" if checks else "no-luhn", "fours" if groups[:3] == [4, 4, 4] else "one" if len(groups) == 1 else "odd-groups"]
+    else:
+        out.append("parens" if re.match(r"(\+9{1,3}\x20?)?\(9{2,5}\)", shape) else "no-parens")
+        out.append("3-3-4" if groups in ([3, 3, 4], [1, 3, 3, 4]) else "3-4" if groups == [3, 4] else "date" if groups in ([4, 2, 2], [2, 2, 4]) else "twos" if set(groups) == {2} else "others")
+        out.append("area0" if zero else "area")
+        out.append("luhn16" if n >= 13 and checks else "-")
+    out.append("sep" + ("mixed" if len(seps) > 1 else seps.pop() if seps else "0"))
+    return tuple(out)
+
+
+def _address_features(span: str) -> list[str] | None:
+    tokens = [t.lower() for t in _TOKEN.findall(span) if not t.isspace()]
+    signs = [t for t in tokens if t not in "[](){}"]
+    at = [i for i, t in enumerate(signs) if t in _AT and 0 < i < len(signs) - 1]
+    if len(at) != 1 or not 0 < at[0] < len(signs) - 3 or not any(t in _DOT for t in signs[at[0] + 2 :]) or not signs[-1].isalpha() or signs[-1] in _DOT:
+        return None
+    if not span[0].isalnum() or not span[-1].isalnum():
+        return None
+    dots = [i for i, t in enumerate(signs) if t in _DOT and i > at[0]]
+    if any(b - a < 2 for a, b in zip([at[0], *dots], [*dots, len(signs)], strict=True)):
+        return None
+    bare_at = "@" not in signs and not re.search(r"[\[({]\s?(at|arobase)\s?[\])}]", span, re.I)
+    if bare_at and all(signs[i] == "." for i in dots) or re.search(r"\.\s|\s\.", span):
+        return None  # "look at this.example" and ends of sentences
+    out = ["tld" if signs[-1] in _TLD else "odd-tld", "brackets" if any(c in "[({" for c in span) else "bare"]
+    out.append("sign" if "@" in signs else "word-at")
+    out.append("word-dot" if any(t in _DOT and t != "." for t in signs) else "sign-dot")
+    name = span.split("@")[0].split("[")[0].split("(")[0].split("{")[0].split(" at ")[0].split(" AT ")[0].strip()
+    out.append("name-spaced" if " " in name else "name-whole")
+    out.append("long" if len(tokens) > 14 else "short")
+    return out
+
+
+def _group_features(span: str, left: str, after: str) -> list[str] | None:
+    if span.count(":") < 3 or not re.fullmatch(r"[0-9A-Fa-f:]+", span) or re.match("[0-9A-Za-z:]", left) or re.match(":?[0-9A-Za-z]|::", after):
+        return None
+    groups = span.split(":")
+    out = [f"groups{min(8, len(groups))}" if "" not in groups else "compressed", "hex" if re.search("[A-Fa-f]", span) else "decimal"]
+    out.append("all2" if all(len(g) == 2 for g in groups) else "mixed")
+    out.append("long-group" if max(map(len, groups)) > 2 else "short-groups")
+    return out
+
+
+@lru_cache(maxsize=1 << 12)
+def _before_features(kind: int, before: str) -> tuple[str, ...]:
+    """Features of the characters before a span."""
+    out = ["context" if _CONTEXT[KINDS[kind]].search(before) else "no-context"]
+    if _NEGATIVE.search(before):
+        out.append("negative")
+    left = before[-1:]
+    out.append("left-clean" if not left or left.isspace() or left in "([{\"':;,=<" else "left-joined")
+    return tuple(out)
+
+
 def _kind_features(kind: int, text: str, start: int, end: int) -> list[str] | None:
     """Names of the whole-span features; None where the span can't be of the kind."""
     span = text[start:end]
-    before = text[max(0, start - CONTEXT) : start]
-    left, right = text[start - 1 : start], text[end : end + 1]
-    out = []
     if kind == 0:
-        tokens = [t.lower() for t in _TOKEN.findall(span) if not t.isspace()]
-        signs = [t for t in tokens if t not in "[](){}"]
-        at = [i for i, t in enumerate(signs) if t in _AT and 0 < i < len(signs) - 1]
-        if len(at) != 1 or not 0 < at[0] < len(signs) - 3 or not any(t in _DOT for t in signs[at[0] + 2 :]) or not signs[-1].isalpha() or signs[-1] in _DOT:
-            return None
-        if not span[0].isalnum() or not span[-1].isalnum():
-            return None
-        dots = [i for i, t in enumerate(signs) if t in _DOT and i > at[0]]
-        if any(b - a < 2 for a, b in zip([at[0], *dots], [*dots, len(signs)], strict=True)):
-            return None
-        bare_at = "@" not in signs and not re.search(r"[\[({]\s?(at|arobase)\s?[\])}]", span, re.I)
-        if bare_at and all(signs[i] == "." for i in dots) or re.search(r"\.\s|\s\.", span):
-            return None  # "look at this.example" and ends of sentences
-        out += ["tld" if signs[-1] in _TLD else "odd-tld", "brackets" if any(c in "[({" for c in span) else "bare"]
-        out.append("sign" if "@" in signs else "word-at")
-        out.append("word-dot" if any(t in _DOT and t != "." for t in signs) else "sign-dot")
-        name = span.split("@")[0].split("[")[0].split("(")[0].split("{")[0].split(" at ")[0].split(" AT ")[0].strip()
-        out.append("name-spaced" if " " in name else "name-whole")
-        out.append("long" if len(tokens) > 14 else "short")
+        own = _address_features(span)
     elif kind == 1:
-        if span.count(":") < 3 or not re.fullmatch(r"[0-9A-Fa-f:]+", span) or re.match("[0-9A-Za-z:]", left) or re.match(":?[0-9A-Za-z]|::", text[end : end + 2]):
-            return None
-        groups = span.split(":")
-        out += [f"groups{min(8, len(groups))}" if "" not in groups else "compressed", "hex" if re.search("[A-Fa-f]", span) else "decimal"]
-        out.append("all2" if all(len(g) == 2 for g in groups) else "mixed")
-        out.append("long-group" if max(map(len, groups)) > 2 else "short-groups")
+        own = _group_features(span, text[start - 1 : start], text[end : end + 2])
     else:
-        if not (span[0].isdigit() or span[0] == "(" or span[0] == "+" and kind == 3) or not span[-1].isdigit() or not re.fullmatch(r"\+?[0-9\x20().\-/]+", span):
-            return None
-        digits = _digits(span)
-        n = len(digits)
-        if kind == 2 and not 13 <= n <= 19 or kind == 3 and not 7 <= n <= 15:
-            return None
-        groups = [len(g) for g in re.findall(r"[0-9]+", span)]
-        seps = set(re.findall(r"[^0-9]", span))
-        out += [f"n{n}" if n in (7, 8, 9, 10, 11, 12, 16) else "n-other", f"groups{min(5, len(groups))}"]
-        if kind == 2:
-            out += ["luhn" if luhn(digits) else "no-luhn", "fours" if groups[:3] == [4, 4, 4] else "one" if len(groups) == 1 else "odd-groups"]
-        else:
-            out.append("parens" if re.match(r"(\+[0-9]{1,3}\x20?)?\([0-9]{2,5}\)", span) else "no-parens")
-            out.append("3-3-4" if groups in ([3, 3, 4], [1, 3, 3, 4]) else "3-4" if groups == [3, 4] else "date" if groups in ([4, 2, 2], [2, 2, 4]) else "twos" if set(groups) == {2} else "others")
-            out.append("area0" if digits.startswith("0") else "area")
-            out.append("luhn16" if n >= 13 and luhn(digits) else "-")
-        out.append("sep" + ("mixed" if len(seps) > 1 else seps.pop() if seps else "0"))
-        out.append("plus" if span[0] == "+" else "after-plus" if "+" in text[max(0, start - 4) : start] else "no-plus")
-    out.append("context" if _CONTEXT[KINDS[kind]].search(before) else "no-context")
-    if _NEGATIVE.search(before):
-        out.append("negative")
-    out.append("left-clean" if not left or left.isspace() or left in "([{\"':;,=<" else "left-joined")
-    out.append("right-clean" if not right or right.isspace() or right in ")]}\"',;.!?>:" else "right-joined")
-    return [f"{KINDS[kind]}:{x}" for x in ["bias", *out]]
+        shape = span.translate(_SHAPE)
+        n = shape.count("9")
+        own = _number_features(kind, shape, span[shape.find("9")] == "0", n >= 13 and luhn(_digits(span)))
+        if own is not None:
+            own = [*own, "plus" if span[0] == "+" else "after-plus" if "+" in text[max(0, start - 4) : start] else "no-plus"]
+    if own is None:
+        return None
+    right = text[end : end + 1]
+    clean = "right-clean" if not right or right.isspace() or right in ")]}\"',;.!?>:" else "right-joined"
+    return [f"{KINDS[kind]}:{x}" for x in ("bias", *own, *_before_features(kind, text[max(0, start - CONTEXT) : start]), clean)]
 
 
 def _bounds(text: str, start: int, end: int) -> list[int]:
@@ -153,14 +197,24 @@ def _bounds(text: str, start: int, end: int) -> list[int]:
 
 def _candidates(text: str, bounds: list[int]) -> Iterator[tuple[int, int, int, list[str]]]:
     """Candidate segments of a zone (from, to, kind, features)."""
-    for i in range(len(bounds) - 1):
-        if text[bounds[i]].isspace():
+    tokens = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+    digits, colons, ats = [0], [0], [0]  # before each boundary; what a kind must have is counted before its features are
+    for t in tokens:
+        digits.append(digits[-1] + len(_DIGIT.findall(t)))
+        colons.append(colons[-1] + (t == ":"))
+        ats.append(ats[-1] + (t.lower() in _AT))
+    for i, first in enumerate(tokens):
+        if first.isspace():
             continue
         for j in range(i + 1, min(len(bounds), i + SEGMENT_TOKENS + 1)):
-            if text[bounds[j] - 1].isspace() or bounds[j] - bounds[i] < 6:
+            n = bounds[j] - bounds[i]
+            if n > SEGMENT_CHARS:
+                break
+            if n < 6 or tokens[j - 1].isspace():
                 continue
-            for kind in range(len(KINDS)):
-                if (f := _kind_features(kind, text, bounds[i], bounds[j])) is not None:
+            many = digits[j] - digits[i]
+            for kind, may in enumerate((ats[j] > ats[i], colons[j] - colons[i] >= 3, 13 <= many <= 19, 7 <= many <= 15)):
+                if may and (f := _kind_features(kind, text, bounds[i], bounds[j])) is not None:
                     yield i, j, kind, f
 
 
@@ -307,31 +361,42 @@ def _total(terms: list[float]) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
+def _openings(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that may hold numbers or written-out addresses, by their start."""
+    if _DIGIT.search(text) or "::" in text:
+        yield from (m.span() for m in _NUMBERS.finditer(text))
+    if _MAYBE_ADDRESS.search(text):
+        free = 0
+        for m in _WRITTEN_AT.finditer(text):
+            start = free + len(text[free : m.start()].rstrip(NAME))
+            if start < m.start() and (after := _WRITTEN_DOMAIN.match(text, m.end())):
+                yield start, after.end()
+            free = m.start() + 1
+
+
 def zones_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Stretches of the text that the base spans don't explain and may hold more."""
-    digits = _DIGIT.search(text)
-    if not digits and not _MAYBE_ADDRESS.search(text):
-        return []
+    """Stretches of the text that the base spans don't explain and may hold more;
+    those that overlap are one."""
+    whole: list[list[int]] = []
+    for start, end in sorted(_openings(text)):
+        if whole and start < whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], end)
+        else:
+            whole.append([start, end])
     taken = sorted((s, e) for _, s, e in base)
     out: list[tuple[int, int]] = []
     k = 0
-    for m in _ZONE.finditer(text):
-        start, end = m.span()
+    for start, end in whole:
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         at = k
-        pieces = []  # what of the match no base span covers
-        while start < end:
-            if at < len(taken) and taken[at][0] < end:
-                pieces.append((start, min(end, taken[at][0])))
-                start = max(start, taken[at][1])
-                at += 1
-            else:
-                pieces.append((start, end))
-                break
-        for a, b in pieces:
-            if b - a >= 6:
-                out.append((a, b))
+        while at < len(taken) and taken[at][0] < end:  # what of it no base span covers
+            if taken[at][0] - start >= 6:
+                out.append((start, taken[at][0]))
+            start = max(start, taken[at][1])
+            at += 1
+        if end - start >= 6:
+            out.append((start, end))
     return out
 
 
@@ -360,7 +425,9 @@ def find_personal_data(docs: DataFrame, weights: dict[str, float] | None = None)
     kind:start:end in code points) and n_added.
 
     Null and empty texts have no spans.  Rows that repeat a doc_id stay apart.
-    Long texts are searched whole.  Other columns aren't read.
+    Long texts are searched whole, in time that grows with their length alone;
+    an added span has SEGMENT_TOKENS tokens and SEGMENT_CHARS characters at most.
+    Other columns, whatever their names, aren't read.  No rows give no rows.
     """
     weights = dict(fitted()) if weights is None else weights
 
