@@ -1,93 +1,71 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows become a hash set that travels inside the plan (its
-size is checked first); one narrow pass over the documents hashes every window
-of their words against it.  Every hit is then verified by its words through a
-join with the benchmark's windows.  Beyond ``max_windows`` the set isn't shipped:
-window hashes are exploded and joined by a shuffle instead, with the same rows.
+The benchmark's windows of words are a broadcast hash set: a bit table of the hashes
+of their ends (the first and the last word), which grows with the set, is broadcast,
+and one narrow pass over the documents looks every window of their words up in it.
+What it lets pass is verified by all its words, through a join with the benchmark's
+windows: broadcast too up to BROADCAST_ROWS of them (they are counted), by a shuffle of
+what was let pass beyond.  The documents' words are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, UPPER, whole_text
+from ._shared import BROADCAST_ROWS, LOWER, UPPER, BitFilter, fresh, looked_up, row_key, stash, whole_text
 
 WINDOW = 10
-#: Most window hashes that are put into the plan.
-MAX_WINDOWS = 100_000
-#: What isn't part of a word, once A-Z is lower case.
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What isn't part of a word, in a text whose A-Z is in either case.
+_NOT_WORD = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
-def _words(name: str = "text"):
-    low = F.translate(whole_text(name), UPPER, LOWER)
-    return F.filter(F.split(low, _NOT_WORD), lambda w: w != "")
-
-
-def _starts(words: str, n: int) -> str:
-    return f"if(size({words}) >= {n}, sequence(1, size({words}) - {n - 1}), cast(array() as array<int>))"
+def _words(name: str = "text") -> Column:
+    """The words with A-Z in lower case.  Letters beyond ASCII stay as they are, so
+    lower() serves only where it finds none of them to change."""
+    text = whole_text(name)
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
+    low = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, _NOT_WORD), "")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """win (words, space-joined), len, h and the items with that window."""
+    """win (words, space-joined), len, ends (a hash of the first and the last word)
+    and the items with that window."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), _words().alias("w")).filter(F.size("w") > 0)
     each = words.withColumn("len", F.least(F.size("w"), F.lit(n))).withColumn("at", F.explode(F.expr("sequence(1, size(w) - len + 1)")))
-    win = F.expr("slice(w, at, len)")
-    one = each.select("item", "len", F.array_join(win, " ").alias("win"), F.xxhash64(win).alias("h"))
-    return one.groupBy("win", "len", "h").agg(F.collect_set("item").alias("items"))
-
-
-def _in_plan(hashes: dict[int, list[int]]) -> str:
-    """SQL of (n, hits) of ``words``: the places whose window hash is in the set."""
-    parts = ["cast(array() as array<struct<at:int,len:int,win:string>>)"]
-    for n, hs in sorted(hashes.items()):
-        held = ",".join(f"{h}L" if h > -(2**63) else "(-9223372036854775807L - 1L)" for h in hs)
-        parts.append(
-            f"transform(filter({_starts('w', n)}, i -> xxhash64(slice(w, i, {n})) in ({held})),"
-            f" i -> named_struct('at', i, 'len', {n}, 'win', array_join(slice(w, i, {n}), ' ')))"
-        )
-    return f"transform(array(words), w -> named_struct('n', cast(size(w) as long), 'hits', concat({', '.join(parts)})))[0]"
-
-
-def _by_shuffle(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Like the in-plan search, for sets too large for a plan."""
-    places = ", ".join(f"transform({_starts('w', n)}, i -> named_struct('at', i, 'len', {n}, 'h', xxhash64(slice(w, i, {n}))))" for n in lengths)
-    each = rows.select("row", F.explode(F.expr(f"transform(array(words), w -> concat({places}))[0]")).alias("p"))
-    found = each.join(windows.select("h", "len").distinct().hint("shuffle_hash"), (F.col("p.h") == F.col("h")) & (F.col("p.len") == F.col("len")), "left_semi")
-    by_row = found.groupBy("row").agg(F.collect_list(F.struct("p.at", "p.len")).alias("ps"))
-    win = F.expr("transform(coalesce(ps, array()), p -> named_struct('at', p.at, 'len', p.len, 'win', array_join(slice(words, p.at, p.len), ' ')))")
-    return rows.join(by_row, "row", "left").select("row", "doc_id", "text_hash", "words", win.alias("hits"))
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    one = each.select("item", "len", F.array_join(F.expr("slice(w, at, len)"), " ").alias("win"), _ends(F.col("w"), F.col("at") - 1, F.col("len")).alias("ends"))
+    return one.groupBy("win", "len", "ends").agg(F.collect_set("item").alias("items"))
+
+
+def _ends(words: Column, at: Column, n: Column) -> Column:
+    return F.xxhash64(n, F.get(words, at), F.get(words, at + n - 1))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, places (sorted, distinct
     (at, len) of verified windows, words counted from 1) and item_ids (strings).
 
     Null texts have no words.  An item of fewer than ``n`` words is one window;
     an item without words has none.  Items with a null item_id hit words too but
-    aren't listed.  Rows that repeat a doc_id are told apart.
+    aren't listed.  Rows that repeat a doc_id are told apart.  Long texts are
+    searched whole.  Without items there are no hits, without rows no rows.
     """
-    windows = benchmark_windows(benchmark, n)
-    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most n of them
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), _words().alias("words"))
-    held = windows.select("len", "h").distinct().limit(max_windows + 1).collect() if lengths else []
-    if len(held) <= max_windows:
-        by: dict[int, list[int]] = {}
-        for length, h in held:
-            by.setdefault(length, []).append(h)
-        found = rows.select("row", "doc_id", "text_hash", F.expr(_in_plan(by)).alias("o"))
-        found = found.select("row", "doc_id", "text_hash", F.col("o.n").alias("n_words"), F.col("o.hits").alias("hits"))
-        verified = F.broadcast(windows.select("win", "items"))
-    else:
-        found = _by_shuffle(rows, windows, lengths).withColumn("n_words", F.size("words").cast("long"))
-        verified = windows.select("win", "items")
-    each = found.select("row", "doc_id", "text_hash", "n_words", F.explode_outer("hits").alias("hit"))
-    each = each.join(verified, F.col("hit.win") == F.col("win"), "left")
-    place = F.when(F.col("win").isNotNull(), F.struct("hit.at", "hit.len"))
-    by_row = each.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set(place).alias("places"), F.collect_set("items").alias("items"))
+    windows = stash(benchmark_windows(benchmark, n), "windows")
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect()) or [n]  # at most n of them
+    count = windows.count()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("text_hash"), _words().alias("w"))
+    each = rows.withColumn("n_words", F.size("w")).withColumn("at", F.explode(F.sequence(F.lit(0), "n_words")))  # the place after the last word stands for the row
+    each = each.withColumn("len", F.explode(F.array(*[F.lit(x) for x in lengths])) if len(lengths) > 1 else F.lit(lengths[0]))
+    each = each.withColumn("row_itself", (F.col("at") == F.col("n_words")) & (F.col("len") == lengths[0])).filter(F.col("row_itself") | (F.col("at") + F.col("len") <= F.col("n_words")))
+    told = BitFilter(windows.select("ends"), "ends", count).told(each, _ends(F.col("w"), F.col("at"), F.col("len")), "may").filter(F.col("row_itself") | F.col("may"))
+    # the rows themselves have a text that no window has, each its own, so that they don't meet in a join
+    win = F.when(F.col("row_itself"), F.concat(F.lit("\0"), F.col("row"))).otherwise(F.array_join(F.expr("slice(w, at + 1, len)"), " "))
+    found = told.select("row", "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), (F.col("at") + 1).alias("at"), "len", win.alias("had"))
+    known = windows.select("win", "items")
+    both = found.join(F.broadcast(known) if count <= broadcast_rows else known, F.col("had") == F.col("win"), "left")
+    place = F.when(F.col("win").isNotNull(), F.struct("at", "len"))
+    by_row = both.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set(place).alias("places"), F.collect_set("items").alias("items"))
     return by_row.select("doc_id", "text_hash", "n_words", F.array_sort("places").alias("places"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("item_ids"))
 
 
@@ -98,9 +76,9 @@ _COVERED = (
 )
 
 
-def measure(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def measure(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row."""
-    found = find_hits(docs, benchmark, n, max_windows).withColumn("n_hit", F.expr(_COVERED).cast("long"))
+    found = find_hits(docs, benchmark, n, broadcast_rows).withColumn("n_hit", F.expr(_COVERED).cast("long"))
     return found.select(
         "doc_id",
         "n_words",
@@ -111,25 +89,25 @@ def measure(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without contaminated documents (mode ``documents``) or without the
     hit words and what stands between them (mode ``spans``), all columns kept.
 
     A row is found again by doc_id and a hash of its text, so rows that share a
-    doc_id or have none are told apart; equal rows end alike.
+    doc_id or have none are told apart; equal rows end alike.  Texts without a hit
+    aren't shuffled.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    found = find_hits(docs, benchmark, n, max_windows).filter(F.size("places") > 0)
-    found = found.select(F.col("doc_id").alias("_lw_id"), F.col("text_hash").alias("_lw_key"), "places")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_text") == F.col("_lw_key"))
-    keyed = docs.withColumn("_lw_text", F.xxhash64(whole_text()))
+    id_, key, spans, parts, first = fresh(docs, "hit_id", "hit_key", "spans", "parts", "first")
+    found = find_hits(docs, benchmark, n, broadcast_rows).filter(F.size("places") > 0).dropDuplicates(["doc_id", "text_hash"])
+    found = stash(found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(key), F.expr(_MERGED).alias(spans)), "hits")
     if mode == "documents":
-        return keyed.join(found.select("_lw_id", "_lw_key").distinct(), same, "left_anti").select(*docs.columns)
-    spans = found.dropDuplicates(["_lw_id", "_lw_key"]).select("_lw_id", "_lw_key", F.expr(_MERGED).alias("_lw_spans"))
-    parts = keyed.join(spans, same, "left").withColumn("_lw_parts", F.regexp_extract_all(whole_text(), F.lit(_PARTS), 0))
-    parts = parts.withColumn("_lw_first", F.when(F.col("text").rlike(_STARTS_WITH_WORD), 0).otherwise(1))
-    return parts.withColumn("text", F.when(F.col("_lw_spans").isNull(), F.col("text")).otherwise(F.expr(_KEPT))).select(*docs.columns)
+        return looked_up(docs, found.select(id_, key), "left_anti").select(*docs.columns)
+    held = looked_up(docs, found, "left").withColumn(parts, F.when(F.col(spans).isNotNull(), F.regexp_extract_all(whole_text(), F.lit(_PARTS), 0)))
+    held = held.withColumn(first, F.when(F.col("text").rlike(_STARTS_WITH_WORD), 0).otherwise(1))
+    kept = F.expr(_KEPT.format(spans=f"`{spans}`", parts=f"`{parts}`", first=f"`{first}`"))
+    return held.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 #: Sorted places as disjoint spans of words.
@@ -143,6 +121,6 @@ _PARTS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _STARTS_WITH_WORD = r"^[0-9A-Za-z\x{80}-\x{10FFFF}]"
 #: Part i is word (i - first) div 2 + 1, or the separator after that word.
 _KEPT = (
-    "array_join(filter(_lw_parts, (x, i) -> i < _lw_first or not exists(_lw_spans, s -> (i - _lw_first) div 2 + 1 >= s.a"
-    " and (i - _lw_first) div 2 + 1 + pmod(i - _lw_first, 2) <= s.b)), '')"
+    "array_join(filter({parts}, (x, i) -> i < {first} or not exists({spans}, s -> (i - {first}) div 2 + 1 >= s.a"
+    " and (i - {first}) div 2 + 1 + pmod(i - {first}, 2) <= s.b)), '')"
 )

@@ -48,8 +48,8 @@ def frames(spark):
 def test_against_brute_force_both_ways(spark):
     docs, items = frames(spark)
     want = brute(DOCS, ITEMS)
-    for most in (dc.MAX_WINDOWS, 0):
-        assert sorted((tuple(r) for r in dc.measure(docs, items, max_windows=most).collect()), key=str) == want
+    for most in (dc.BROADCAST_ROWS, 0):
+        assert sorted((tuple(r) for r in dc.measure(docs, items, broadcast_rows=most).collect()), key=str) == want
 
 
 def test_random_texts(spark):
