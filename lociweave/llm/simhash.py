@@ -3,23 +3,35 @@
 Texts become 64-bit fingerprints; equal fingerprints are one node.  The nodes
 are dealt into shards so that any two within the radius meet in one: with m
 blocks of bits, two codes that differ in at most r places agree on m - r whole
-blocks, and there is a shard for every choice of m - r blocks and their value.
-Inside a shard, nodes go into BK-trees (children keyed by their Hamming distance
-to the parent); a search follows only edges whose key is within the radius of
-its own distance.  A shard of more than ``TREE_NODES`` nodes is several trees,
-and every tree is sent to each block of the shard's queries, so a tree and its
-queries are bounded whatever the shard holds.  (Sending every tree to every
-executor would broadcast the fingerprints of the whole corpus, which nothing
-bounds; a shard's tree goes only to the queries that can match it.)
+blocks, so on any part of their bits; there is a shard for every choice of m - r
+blocks and every value of as many of their bits as make shards of about
+``SHARD_NODES`` nodes.  Inside a shard, nodes go into BK-trees (children keyed by
+their Hamming distance to the parent), and all of a shard's queries go down a
+tree together: each follows only edges whose key is within the radius of its own
+distance.  A shard of more than ``TREE_NODES`` nodes is several trees, and every
+tree is sent to each block of the shard's queries, so a tree and its queries are
+bounded whatever the shard holds.  (Sending every tree to every executor would
+put the fingerprints of all documents on the driver, which nothing bounds; a
+shard's tree goes only to the queries that can match it.)
 
 A tree search gives links; what leaves the task is a spanning forest of them
 (node, root), never all pairs.  Star contraction then joins the forests to
 components, in the shared folder.
+
+Texts that share 0.8 of their five-word shingles differ in up to 16 bits, and no
+blocks of 64 bits hold those apart.  ``drop_similar`` deals its shards by content
+instead: a text is in the shard of each of its ``ANCHORS`` least shingle hashes, and
+two texts of similarity s share none of them with probability (1 - s)^ANCHORS at
+most.  The trees give the shortest spanning forest of a shard, and the sets of
+shingles of each of its edges are compared before it is a link.  Where an edge
+failed, the shard is searched again without it and for what is still apart, ROUNDS
+times at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -27,16 +39,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, stash, whole_text
+from ._shared import BROADCAST_ROWS, fresh, looked_up, row_key, stash
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 TREE_NODES = 2048
-#: Nodes for which a number of blocks of 64 bits keeps shards small: (blocks, nodes).
-_BLOCKS = ((4, 16_000_000), (5, 8_000_000_000), (6, 1 << 62))
+#: Nodes that a shard should hold, about.
+SHARD_NODES = 768
 _BITS_AT_ONCE = 1 << 15
 
+#: Of drop_similar(): words of a shingle, least share in common, bits, shards of a text, searches.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+SIMILAR_RADIUS = 16
+ANCHORS = 8
+ROUNDS = 3
+_FEW = 16
+
 
 def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
     """Hashes of the shingles of a UTF-8 text, in order; none without words."""
@@ -55,10 +75,11 @@ def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of a UTF-8 text, as an unsigned integer."""
-    hashes = shingle_hashes(raw, shingle, seed)
-    if not hashes:
-        return 0
-    h = np.array(hashes, "<u8")
+    return _majority(np.array(shingle_hashes(raw, shingle, seed), "<u8"))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), _BITS_AT_ONCE):
         counts += np.unpackbits(h[at : at + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -73,18 +94,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in rows.column(2)), np.uint64, rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 class BKTree:
-    """Nodes with children by distance; ``near`` visits only edges in the radius."""
+    """Nodes with children by distance; a search visits only edges in the radius."""
 
     __slots__ = ("codes", "edges")
 
-    def __init__(self):
+    def __init__(self, codes: Iterator[int] = ()):
         self.codes: list[int] = []
         self.edges: list[dict[int, int]] = []
+        for code in codes:
+            self.add(code)
 
     def add(self, code: int) -> None:
         codes, edges = self.codes, self.edges
@@ -95,50 +118,89 @@ class BKTree:
             d = (codes[at] ^ code).bit_count()
             at = edges[at].setdefault(d, new)
 
-    def near(self, code: int, radius: int) -> Iterator[int]:
-        """Places of the nodes within the radius of ``code``."""
-        if not self.codes:
-            return
-        todo = [0]
+    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of a node, places of the queries within the radius of it, their
+        distances), for every node that has any.  The queries that reach a node are
+        one array."""
+        todo = [(0, np.arange(len(queries)))] if self.codes and len(queries) else []
         while todo:
-            at = todo.pop()
-            d = (self.codes[at] ^ code).bit_count()
-            if d <= radius:
-                yield at
-            todo.extend(child for key, child in self.edges[at].items() if d - radius <= key <= d + radius)
+            at, reach = todo.pop()
+            d = np.bitwise_count(queries[reach] ^ np.uint64(self.codes[at])).astype(np.int16)
+            if (close := d <= radius).any():
+                yield at, reach[close], d[close]
+            for key, child in self.edges[at].items():
+                if len(down := reach[np.abs(d - key) <= radius]):
+                    todo.append((child, down))
 
 
 def _forest(tree: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """(code, root) of the links between a tree and queries, or within the tree."""
-    bk, parent = BKTree(), {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    def link(a: int, b: int) -> None:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    if queries is None:
-        for code in tree:
-            for at in bk.near(code, radius):
-                link(code, bk.codes[at])
-            bk.add(code)
-    else:
-        for code in tree:
-            bk.add(code)
-        for code in queries:
-            for at in bk.near(code, radius):
-                link(code, bk.codes[at])
-    return [(x, root(x)) for x in list(parent)]
-
-
-def _search(radius: int):
-    """Over rows sorted by (combo, part, i, j): the forest of each tree and its queries."""
+    """(code, root) of the links between a tree and queries, or within the tree.
+    Codes that are connected already aren't linked again."""
+    bk = BKTree(tree)
+    codes = np.array(tree if queries is None else [*tree, *queries], np.uint64)
+    asked = codes if queries is None else codes[len(tree) :]
+    first = 0 if queries is None else len(tree)
+    label = np.arange(len(codes))  # of a code's component: the place of one of it
+    for at, hit, _ in bk.near(asked, radius):
+        others = np.unique(label[hit + first])
+        if len(others) > 1 or others[0] != label[at]:
+            label[np.isin(label, others)] = label[at]
+    least = codes.copy()
+    np.minimum.at(least, label, codes)
+    moved = np.flatnonzero(np.bincount(label, minlength=len(codes))[label] > 1)
+    return list(zip(codes[moved].tolist(), least[label[moved]].tolist(), strict=True))
+
+
+def _shortest(tree: list[tuple], queries: list[tuple] | None, radius: int, least: float) -> list[tuple[int, int]]:
+    """Of nodes (code, name, component, names it isn't linked to, size of its set), the
+    names of the ends of the edges of a shortest spanning forest: of what may be
+    linked between a tree and queries, or within the tree.  Sets of which one is below
+    ``least`` times the other can't share that much."""
+    every = tree if queries is None else [*tree, *queries]
+    n, first = len(every), 0 if queries is None else len(tree)
+    out = []
+    if n <= _FEW:  # few enough to be looked at one by one
+        label = [v[2] for v in every]
+        fit = lambda i, j: every[i][1] not in (every[j][3] or ()) and min(every[i][4], every[j][4]) >= least * max(every[i][4], every[j][4])
+        near = sorted((d, i, j) for i in range(len(tree)) for j in range(max(first, i + 1), n) if (d := (every[i][0] ^ every[j][0]).bit_count()) <= radius and fit(i, j))
+        for _, i, j in near:
+            if (x := label[i]) != (y := label[j]):
+                label = [x if v == y else v for v in label]
+                out.append((every[i][1], every[j][1]))
+        return out
+    far = 255
+    between = np.full((len(tree), n - first), far, np.uint8)
+    for at, hit, d in BKTree(v[0] for v in tree).near(np.array([v[0] for v in every[first:]], np.uint64), radius):
+        between[at, hit] = d
+    at_name = {v[1]: j for j, v in enumerate(every[first:])}
+    for i, v in enumerate(tree):
+        between[i, [at_name[x] for x in v[3] or () if x in at_name]] = far
+    a, b = np.array([v[4] for v in tree])[:, None], np.array([v[4] for v in every[first:]])[None, :]
+    between[np.minimum(a, b) < least * np.maximum(a, b)] = far
+    label = np.unique(np.array([v[2] for v in every], np.int64), return_inverse=True)[1]
+    rows, cols = np.arange(len(tree)), np.arange(first, n)
+    while True:  # every component takes its shortest edge to another
+        between[label[rows][:, None] == label[cols][None, :]] = far
+        ends = np.concatenate([rows, between.argmin(axis=0)]), np.concatenate([first + between.argmin(axis=1), cols])
+        length = between[ends[0], ends[1] - first]
+        order = np.argsort(length, kind="stable")
+        order = order[: np.searchsorted(length[order], far)]
+        if not len(order):
+            return out
+        whose = np.concatenate([label[rows], label[cols]])[order]
+        for k in np.sort(np.unique(whose, return_index=True)[1]).tolist():  # each component's first, the shortest first
+            i, j = int(ends[0][order[k]]), int(ends[1][order[k]])
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((every[i][1], every[j][1]))
+
+
+def _search(radius: int, least: float | None):
+    """Over rows (combo, part, i, j, sub, fp, ...) sorted by the first four: of each
+    tree and its queries the forest, or the shortest forest of names where a ``least``
+    share is given."""
+    named = least is not None
+    grow = partial(_shortest, least=least) if named else _forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, queries, out = None, [], [], []
@@ -148,23 +210,24 @@ def _search(radius: int):
                 return
             if key[2] == key[3]:
                 if len(tree) > 1:
-                    out.extend(_forest(tree, None, radius))
+                    out.extend(grow(tree, None, radius))
             elif tree and queries:
-                out.extend(_forest(tree, queries, radius))
+                out.extend(grow(tree, queries, radius))
 
         def batch() -> pa.RecordBatch:
-            pairs = np.array(out, np.uint64).view(np.int64).reshape(-1, 2)
+            pairs = np.array(out, np.int64 if named else np.uint64).view(np.int64).reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for rows in batches:
             cols = [rows.column(i).to_pylist() for i in range(5)]
             fps = rows.column(5).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-            for c, p, i, j, sub, fp in zip(*cols, fps, strict=True):
+            nodes = list(zip(fps, *(rows.column(i).to_pylist() for i in (6, 7, 8, 9)), strict=True)) if named else fps
+            for c, p, i, j, sub, node in zip(*cols, nodes, strict=True):
                 if key != (c, p, i, j):
                     end()
                     key, tree, queries = (c, p, i, j), [], []
-                (tree if sub == i else queries).append(fp)
+                (tree if sub == i else queries).append(node)
             if len(out) > 4096:
                 yield batch()
         end()
@@ -174,31 +237,42 @@ def _search(radius: int):
     return run
 
 
+def _in_shards(rows: DataFrame, radius: int, tree_nodes: int, least: float | None = None) -> DataFrame:
+    """(a, b) links of rows (combo, part, fp and, with ``least``, name, component, apart
+    and n): each shard (combo, part) is searched by trees of ``tree_nodes`` nodes at most."""
+    own = ["fp"] if least is None else ["fp", "name", "component", "apart", "n"]
+    counts = rows.groupBy("combo", "part").count().filter(F.col("count") > tree_nodes)
+    large = stash(counts.select("combo", "part", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees")), "large-shards")
+    side = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    rows = rows.join(side, ["combo", "part"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("fp" if least is None else "name"), F.col("trees")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    rows = rows.select("combo", "part", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", *own)
+    dealt = rows.repartition("combo", "part", "i", "j").sortWithinPartitions("combo", "part", "i", "j")
+    return dealt.mapInArrow(_search(radius, least), "a long, b long")
+
+
 def forest(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, blocks: int | None = None) -> DataFrame:
     """(a, b) links that connect the same nodes as all links within the radius.
 
-    nodes: distinct ``fp``.  ``blocks`` (more than the radius) is chosen from the
-    number of nodes where it isn't given; every choice finds every link.
+    nodes: distinct ``fp``.  ``blocks`` (more than the radius) are as few as have
+    the bits that the number of nodes asks for, where they aren't given; every
+    choice finds every link.
     """
+    wanted = max(0, (max(1, nodes.count()) // SHARD_NODES).bit_length())
     if blocks is None:
-        n = nodes.count()
-        blocks = next(b for b, most in _BLOCKS if n <= most) + radius - RADIUS
+        blocks = next(m for m in range(radius + 1, 65) if 64 * (m - radius) // m >= wanted)
     if blocks <= radius:
         raise ValueError("there must be more blocks than bits in the radius")
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept) for kept in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = []
+    for kept in combinations(range(blocks), blocks - radius):
+        bits = [b for i in kept for b in range(edges[i], edges[i + 1])]
+        masks.append(sum(1 << b for b in bits[:wanted]))
+    signed = [m - (1 << 64) if m >> 63 else m for m in dict.fromkeys(masks)]
     parts = F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part")) for c, m in enumerate(signed)])
     rows = nodes.select("fp", F.explode(parts).alias("s")).select("s.combo", "s.part", "fp")
-    counts = rows.groupBy("combo", "part").count().filter(F.col("count") > tree_nodes)
-    large = stash(counts.select("combo", "part", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees")), "large-shards")
-    side = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    rows = rows.join(side, ["combo", "part"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    rows = rows.select("combo", "part", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", "fp")
-    dealt = rows.repartition("combo", "part", "i", "j").sortWithinPartitions("combo", "part", "i", "j")
-    return dealt.mapInArrow(_search(radius), "a long, b long")
+    return _in_shards(rows, radius, tree_nodes)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,8 +330,93 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
 
 def without(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``docs`` without the rows (doc_id, text_hash) of ``classes`` that aren't their component's smallest."""
-    classes = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stash(classes.select(F.col("doc_id").alias("_lw_gone"), F.col("text_hash").alias("_lw_gone_text")).distinct(), "near")
-    lost = F.col("doc_id").eqNullSafe(F.col("_lw_gone")) & (F.col("_lw_text") == F.col("_lw_gone_text"))
-    return docs.withColumn("_lw_text", F.xxhash64(whole_text())).join(gone, lost, "left_anti").drop("_lw_text")
+    """``docs`` without the rows (doc_id, text_hash) of ``classes`` that aren't their
+    component's smallest.  Other rows aren't shuffled."""
+    id_, key = fresh(docs, "gone_id", "gone_key")
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(key))
+    return looked_up(docs, stash(gone.distinct(), "near"), "left_anti")
+
+
+def shingle_set(raw: bytes, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of the shingles of a UTF-8 text, sorted."""
+    return np.unique(np.array(shingle_hashes(raw, shingle, seed), "<u8"))
+
+
+def _sketches(docs: DataFrame, shingle: int, seed: int, anchors: int) -> DataFrame:
+    """doc_id, text_hash, fp, the least shingle hashes and their number of the rows that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            fps, least, sizes = [], [], []
+            for t in rows.column(2):
+                h = np.array(shingle_hashes(t.as_py() or b"", shingle, seed), "<u8")
+                fps.append(_majority(h))
+                h = np.unique(h)
+                least.append(h[:anchors].view(np.int64))
+                sizes.append(len(h))
+            cols = pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cols], ["doc_id", "text_hash", "fp", "anchors", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, anchors array<long>, n long").filter(F.size("anchors") > 0)
+
+
+def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(name, hashes) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            sets = [shingle_set(t.as_py() or b"", shingle, seed).view(np.int64) for t in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], ["name", "hashes"])
+
+    return docs.select(row_key().alias("name"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "name long, hashes array<long>")
+
+
+def _compared(links: DataFrame, docs: DataFrame, nodes: DataFrame, least: float, shingle: int, seed: int) -> DataFrame:
+    """a, b and whether the two texts are alike, by their whole sets of shingles."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    few = nodes.join(ends, F.col("text_hash") == F.col("end"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key"))
+    texts = looked_up(docs.select("doc_id", "text"), stash(few, "ends"), "inner")
+    sets = stash(_sets(texts, shingle, seed).dropDuplicates(["name"]), "sets")
+    both = links.join(sets.select(F.col("name").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", (common >= F.lit(least) * (F.size("x") + F.size("y") - common)).alias("alike"))
+
+
+def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, seed: int = SEED, anchors: int = ANCHORS, tree_nodes: int = TREE_NODES, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, text_hash, component_id (the smallest doc_id that links reach) of the
+    rows whose text is like another's: ``least`` of their shingles or more."""
+    marked = stash(_sketches(docs, shingle, seed, anchors), "sketches")
+    nodes = marked.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("n").alias("n"))
+    each = nodes.select(F.lit(0).alias("combo"), F.explode("anchors").alias("part"), "fp", F.col("text_hash").alias("name"), "n")
+    shared = each.groupBy("part").count().filter("count > 1").select("part")
+    anchored = stash(each.join(shared, "part", "left_semi"), "anchored")
+    rows = anchored.withColumns({"component": F.col("name"), "apart": F.lit(None).cast("array<long>")})
+    alike, apart, joined = None, None, None
+    for turn in range(rounds):
+        found = _in_shards(rows, radius, tree_nodes, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = stash(_compared(stash(found.distinct(), "nominated"), docs, nodes, least, shingle, seed), "compared")
+        good, bad = found.filter("alike").select("a", "b"), found.filter(~F.col("alike")).select("a", "b")
+        if joined is not None and good.isEmpty():
+            break
+        alike, apart = (good, bad) if alike is None else (alike.unionByName(good), apart.unionByName(bad))
+        joined = stash(components(alike), "alike")
+        if turn + 1 == rounds or bad.isEmpty():
+            break
+        both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        not_linked = both.groupBy(F.col("a").alias("name")).agg(F.collect_list("b").alias("apart"))
+        again = anchored.join(not_linked.select("name"), "name", "left_semi").select("part").distinct()  # shards where an edge failed
+        rows = anchored.join(again, "part", "left_semi").join(joined.withColumnRenamed("node", "name"), "name", "left").join(not_linked, "name", "left")
+        rows = stash(rows.select("combo", "part", "fp", "name", F.coalesce("root", "name").alias("component"), "apart", "n"), "once-more")
+    member = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    found = stash(marked.join(member, F.col("text_hash") == F.col("node")).select("doc_id", "text_hash", "root"), "members")
+    ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(stash(ids, "least"), "root").select("doc_id", "text_hash", "component_id")
+
+
+def drop_similar(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, seed: int = SEED, anchors: int = ANCHORS, tree_nodes: int = TREE_NODES, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with one document of each component of similar texts: that with the
+    smallest doc_id.  All columns are kept.  Texts without words, and components with
+    only null doc_ids, stay, as do equal rows that repeat a doc_id; long texts are
+    compared whole.  No rows give no rows."""
+    return without(docs, similar_texts(docs, least, shingle, radius, seed, anchors, tree_nodes, rounds))

@@ -3,10 +3,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
-from lociweave.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from lociweave.llm import _shared, exact_dedup, simhash
 
 DOCS = "doc_id long, text string, kept string, row long, group_size long, fp long, h long, component_id long"
 
@@ -56,6 +59,40 @@ def test_exact_drop_keeps_columns_and_rows(spark):
     assert exact_dedup.mark_duplicates(docs(spark, [])).count() == 0
 
 
+def test_drops_with_clashing_names(spark):
+    names = ("own_key", "may", "gone_id", "gone_key", "own", "word", "bits", "probe")
+    odd = docs(spark, ROWS).select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    for drop in (exact_dedup.drop_duplicates, simhash.drop_near_duplicates):
+        got = drop(odd)
+        assert got.columns == odd.columns and {tuple(r)[2:] for r in got.collect()} == {names}
+    assert sorted(str(r["doc_id"]) for r in exact_dedup.drop_duplicates(odd).collect()) == sorted(map(str, [3, 1, 7, 4, 6, 10, None]))
+
+
+def test_bit_filters_miss_nothing(spark):
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    for held, words in ((df.filter("id < 3000"), _shared.BitFilter.WORDS), (df.filter("id < 15000"), 1 << 10)):
+        had = _shared.BitFilter.WORDS
+        try:
+            _shared.BitFilter.WORDS = words
+            told = _shared.BitFilter(held, "h", held.count()).told(df, F.col("h"), "may")
+            n, hit = held.count(), told.join(held, "id", "left_semi").filter("may").count()
+            assert hit == n and told.columns == ["h", "id", "may"]
+            if words > 1 << 10:
+                assert told.filter("may").count() < 1.1 * n
+        finally:
+            _shared.BitFilter.WORDS = had
+
+
+def test_runs_merge_like_one_sort():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 7, 200):
+        rows = np.zeros(n, exact_dedup.RECORD)
+        rows["key"] = [f"{k:048d}".encode() for k in r.integers(0, max(1, n // 3), n)]
+        rows["no_id"], rows["doc_id"], rows["row"], rows["size"] = r.integers(0, 2, n), r.integers(0, 5, n), np.arange(n), 1
+        parts = [exact_dedup.sorted_run(rows[k::5]) for k in range(5)]
+        assert exact_dedup.merge_runs(parts).tobytes() == exact_dedup.sorted_run(rows).tobytes()
+
+
 def plain_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
@@ -97,12 +134,61 @@ def some_codes(seed, n):
 
 def test_bk_tree_finds_all_in_the_radius():
     codes = some_codes(2, 60)
-    tree = simhash.BKTree()
-    for c in codes:
-        tree.add(c)
-    for q in codes[::5]:
-        for radius in (0, 1, 3, 6):
-            assert sorted(tree.near(q, radius)) == [k for k, c in enumerate(codes) if (c ^ q).bit_count() <= radius]
+    tree = simhash.BKTree(codes)
+    asked = np.array(codes[::5], np.uint64)
+    for radius in (0, 1, 3, 6):
+        got = sorted((at, q) for at, hit, _ in tree.near(asked, radius) for q in hit.tolist())
+        assert got == [(k, q) for k, c in enumerate(codes) for q, a in enumerate(codes[::5]) if (c ^ a).bit_count() <= radius]
+    assert list(simhash.BKTree().near(asked, 3)) == []
+
+
+def test_forests_connect_what_links_connect():
+    for seed in range(30):
+        codes = list(dict.fromkeys(some_codes(seed, 12)))
+        for tree, queries in ((codes, None), (codes[::2], codes[1::2])):
+            edges = [(a, b) for a in tree for b in (tree if queries is None else queries) if (a ^ b).bit_count() <= 3]
+            up = {c: c for c in codes}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in edges:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+            got = dict(simhash._forest(tree, queries, 3))
+            assert {c: got.get(c, c) for c in codes} == {c: root(c) for c in codes}
+
+
+def test_shortest_forests():
+    """As long as that of all links taken by length, whether looked at one by one or through a tree."""
+    r = random.Random(8)
+    for n in (5, 12, 40, 90):
+        codes = list(dict.fromkeys(some_codes(n, n)))[:n]
+        every = [(c, k, k // 2 if k % 7 == 0 else k, [k + 1] if k % 5 == 0 else None, r.randint(8, 10)) for k, c in enumerate(codes)]
+        for tree, queries in ((every, None), (every[::2], every[1::2])):
+            pairs = []
+            for a in tree:
+                for b in queries or every:
+                    d = (a[0] ^ b[0]).bit_count()
+                    if a[1] != b[1] and d <= 6 and 10 * min(a[4], b[4]) >= 9 * max(a[4], b[4]) and b[1] not in (a[3] or ()) and a[1] not in (b[3] or ()):
+                        pairs.append((d, a, b))
+            up = {v[2]: v[2] for v in every}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            want = []
+            for d, a, b in sorted(pairs, key=lambda x: x[0]):
+                if root(a[2]) != root(b[2]):
+                    up[root(a[2])] = root(b[2])
+                    want.append(d)
+            both = {v[1]: [*(v[3] or ()), *(w[1] for w in every if v[1] in (w[3] or ()))] for v in every}
+            tree, queries = ([(*v[:3], both[v[1]], v[4]) for v in x] if x else None for x in (tree, queries))
+            got = simhash._shortest(tree, queries, 6, 0.9)
+            assert sorted((codes[a] ^ codes[b]).bit_count() for a, b in got) == sorted(want), (n, queries is None)
 
 
 @pytest.mark.parametrize(("blocks", "tree_nodes"), [(4, 2048), (4, 8), (5, 8), (6, 64)])

@@ -5,7 +5,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as cp  # noqa: E402
 
-from lociweave.llm import similar, simhash  # noqa: E402
+from lociweave.llm import simhash  # noqa: E402
 
 
 def shingles(text):
@@ -58,9 +58,9 @@ def test_similar_against_all_pairs(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = expected(rows)
     assert len(want) < len(rows) - 60
-    for parts in (256, 7):
-        assert sorted(x["doc_id"] for x in similar.drop_similar(frame, tree_texts=parts).collect()) == want
-    assert similar.drop_similar(frame.limit(0)).count() == 0
+    for parts in (2048, 7):
+        assert sorted(x["doc_id"] for x in simhash.drop_similar(frame, tree_nodes=parts).collect()) == want
+    assert simhash.drop_similar(frame.limit(0)).count() == 0
 
 
 def test_stage_drops_copies_beyond_three_bits(spark):
