@@ -1,144 +1,166 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-Lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk
-where it is divisible by DIVISOR, and a line of more than LONG_WORDS words (a
-passage written as one line) is a chunk of its own.  A boundary depends on those
-lines alone, so lines put in or taken out elsewhere don't move it.  A chunk of
-several lines, or of one such long line, that occurs again anywhere in the table
-is removed but for its first occurrence.
-Hashes only nominate: chunks are grouped by their bytes before one is removed.
+Lines are hashed, and a rolling hash over WINDOW line hashes chooses boundaries: a
+chunk ends after a line where the hash of the window that ends there is 0 modulo
+DIVISOR, and begins before a line where that of the window that begins there is
+1.  A line of more than LONG_CHARS characters stands alone.  A boundary depends on
+the lines beside it alone, so lines put in or taken out elsewhere don't move it.
+
+What is compared is a chunk of several lines and every two neighbouring chunks,
+so that chunks that repeat together are found as one stretch, however long; and a
+single line of more than LONG_WORDS words, as passages are often written on one
+line.  Of such a stretch that occurs again anywhere in the table, all but the first
+occurrence go.  Hashes only nominate: stretches are grouped by their bytes before
+one is removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash, whole_text
+from ._shared import BitFilter, fresh, looked_up, row_key, stash, whole_text
 
-WINDOW = 2
-DIVISOR = 3
-#: Lines that a chunk must have to be removed, and words.
+WINDOW = 1
+DIVISOR = 2
+#: Lines and words that a stretch must have to be removed.
 LEAST_LINES = 2
 LEAST_WORDS = 4
-#: Words above which a line is a chunk of its own.
+#: Words above which a single line is removed too, and characters above which it may have them.
 LONG_WORDS = 50
-#: Words of 64 bits of the filter over repeated hashes: what is broadcast, whatever the table holds.
-FILTER_WORDS = 1 << 18
+LONG_CHARS = 2 * LONG_WORDS
 _BASE = 31
 _PRIME = 2147483647
 
-#: The first 8 hex digits of a line's MD5 as a number.
-_HASHES = "transform(t, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as long))"
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Whether a line is long; short ones aren't searched for words.
-_LONG = f"transform(t, x -> length(x) > {2 * LONG_WORDS} and regexp_count(x, '{_WORD.replace(chr(92), 2 * chr(92))}') > {LONG_WORDS})"
 
 
-def _chunks(window: int, divisor: int) -> str:
-    """SQL: the chunks (idx from 0, n lines, text) of the lines ``t``, as an array."""
-    rolled = " + ".join(f"pmod(element_at(h, i - {k}) * {_BASE**k}L, {_PRIME}L)" for k in range(window))
-    ends = f"filter(sequence(1, size(h)), i -> i = size(h) or element_at(s, i) or element_at(s, i + 1) or (i >= {window} and pmod(pmod({rolled}, {_PRIME}L), {divisor}L) = 0L))"
-    cut = (
-        "transform(e, (to, k) -> transform(array(if(k = 0, 0, element_at(e, if(k = 0, 1, k)))), since -> named_struct("
-        "'idx', k, 'n', to - since, 'text', array_join(slice(t, since + 1, to - since), '\\n')))[0])"
+def _stretches(window: int, divisor: int) -> str:
+    """SQL: the stretches (a first line from 0, n lines, h a hash) of the lines ``t``."""
+    hashes = "transform(t, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as long))"
+    rolled = " + ".join(f"pmod(get(h, i - {k}) * {_BASE**k}L, {_PRIME}L)" for k in range(window))
+    turns = f"transform(h, (v, i) -> if(i < {window - 1}, null, pmod(pmod({rolled}, {_PRIME}L), {divisor}L)))"
+    long = f"transform(t, x -> length(x) > {LONG_CHARS})"
+    ends = f"filter(sequence(0, size(t) - 1), i -> i = size(t) - 1 or get(s, i) or get(s, i + 1) or get(r, i) = 0L or get(r, i + {window}) = {1 % divisor}L)"
+    chunks = "transform(e, (to, k) -> named_struct('a', if(k = 0, 0, get(e, k - 1) + 1), 'n', to - if(k = 0, -1, get(e, k - 1))))"
+    found = (
+        "transform(concat(filter(c, x -> x.n > 1 or get(s, x.a)), transform(slice(c, 1, size(c) - 1), (x, k) -> named_struct('a', x.a, 'n', x.n + get(c, k + 1).n))),"
+        " x -> named_struct('a', x.a, 'n', x.n, 'h', xxhash64(slice(t, x.a + 1, x.n))))"
     )
-    return f"transform(array({_HASHES}), h -> transform(array({_LONG}), s -> transform(array({ends}), e -> {cut})[0])[0])[0]"
+    for name, value in (("c", chunks), ("e", ends), ("s", long), ("r", turns), ("h", hashes)):
+        found = f"transform(array({value}), {name} -> {found})[0]"
+    return found
 
 
-def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, dkey (a hash that tells rows with one doc_id apart) and chunks."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("dkey"), F.split(whole_text(), "\n").alias("lines"))
-    return lines.select("doc_id", "dkey", F.expr(f"transform(array(lines), t -> {_chunks(window, divisor)})[0]").alias("chunks"))
+def stretches(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """row, doc_id, key (a hash of the text) and stretches of the rows that have any."""
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.split(whole_text(), "\n").alias("lines"))
+    found = lines.select("row", "doc_id", "key", F.expr(f"transform(array(lines), t -> {_stretches(window, divisor)})[0]").alias("each"))
+    return found.filter(F.size("each") > 0)
 
 
-def _many(docs: DataFrame, window: int, divisor: int, least_lines: int, least_words: int) -> DataFrame:
-    each = chunked(docs, window, divisor).select("doc_id", "dkey", F.explode("chunks").alias("c"))
-    words = F.regexp_count(F.col("c.text"), F.lit(_WORD))
-    return each.filter(((F.col("c.n") >= least_lines) & (words >= least_words)) | (words > LONG_WORDS)).select("doc_id", "dkey", "c.idx", "c.text", F.xxhash64("c.text").alias("h"))
+def _nominated(docs: DataFrame, window: int, divisor: int) -> DataFrame:
+    """_id, _key, first row, copies and the stretches whose hash may occur again, one row per
+    doc_id and text."""
+    found = stash(stretches(docs, window, divisor), "stretches")
+    hashes = stash(found.select(F.explode("each.h").alias("h")).groupBy("h").count().filter("count > 1").select("h"), "repeated-hashes")
+    each = found.select("row", "doc_id", "key", F.explode("each").alias("x")).select("row", "doc_id", "key", "x.a", "x.n", "x.h")
+    twice = BitFilter(hashes, "h", hashes.count()).told(each, F.col("h"), "may").filter("may")
+    copies = twice.groupBy("doc_id", "key").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.collect_set(F.struct("a", "n")).alias("each"))
+    times = (F.col("n") / F.size("each")).cast("long").alias("copies")  # equal texts have equal stretches
+    return stash(copies.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "row", times, "each"), "nominated")
 
 
-def _maybe_repeated(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
-    """``chunks`` without most of those whose hash isn't in ``hashes``: a bit filter
-    of FILTER_WORDS rows at most, so that their texts needn't travel.  None that
-    is in ``hashes`` goes."""
-    word, bit = F.pmod("h", F.lit(FILTER_WORDS)), F.expr("cast(pmod(shiftrightunsigned(h, 40), 64) as int)")
-    words = hashes.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(h, 40), 64) as int))")).alias("_bits"))
-    held = chunks.join(F.broadcast(words), word == F.col("_word")).withColumn("_bit", bit)
-    return held.filter(F.expr("shiftrightunsigned(_bits, _bit) & 1L = 1L")).drop("_word", "_bits", "_bit")
+def removed_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """_id, _key, copies, and the numbers (from 0) of the lines that go: ``gone`` in
+    the first row with that doc_id and text, ``gone_again`` in its copies.
 
-
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, dkey, idx of the chunk occurrences that go: all but the first, by
-    (doc_id, nulls last, dkey, idx), of every chunk that occurs again."""
-    hashes = _many(docs, window, divisor, least_lines, least_words).groupBy("h").count().filter("count > 1").select("h")
-    hashes = stash(hashes, "repeated-hashes")
-    # an inner join with distinct hashes: a semi-join would be moved below the filter's join
-    found = _maybe_repeated(_many(docs, window, divisor, least_lines, least_words), hashes).join(hashes, "h")
-    found = stash(found, "nominated")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "dkey", "idx")
-    firsts = found.groupBy("h", "text").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    # written, so that the join deals both sides itself and can split a chunk that a third of the rows share
-    firsts = stash(firsts.select(F.col("h").alias("_h"), F.col("text").alias("_text"), "first"), "firsts")
-    both = found.join(firsts, (F.col("h") == F.col("_h")) & (F.col("text") == F.col("_text")))
-    return both.filter(place != F.col("first")).select("doc_id", "dkey", "idx")
-
-
-def _with_gone(docs: DataFrame, window: int, divisor: int, least_lines: int, least_words: int) -> DataFrame:
-    gone = repeated_chunks(docs, window, divisor, least_lines, least_words).groupBy("doc_id", "dkey").agg(F.collect_set("idx").alias("_lw_gone"))
-    gone = gone.select(F.col("doc_id").alias("_lw_id"), F.col("dkey").alias("_lw_key"), "_lw_gone")
-    keyed = docs.withColumn("_lw_dkey", F.xxhash64(whole_text()))
-    return keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_dkey") == F.col("_lw_key")), "left").withColumn("_lw_lines", F.split(whole_text(), "\n"))
-
-
-def _kept(window: int, divisor: int) -> str:
-    chunks = _chunks(window, divisor)
-    return f"transform(array(_lw_lines), t -> filter({chunks}, c -> not array_contains(coalesce(_lw_gone, cast(array() as array<int>)), c.idx)))[0]"
+    The first occurrence, by (doc_id, nulls last, row, line), of every stretch stays.
+    """
+    docs = docs.select("doc_id", "text")
+    found = looked_up(docs, _nominated(docs, window, divisor), "inner")
+    texts = found.select("doc_id", row_key().alias("key"), "row", "copies", F.split(whole_text(), "\n").alias("lines"), F.explode("each").alias("x"))
+    texts = texts.select("doc_id", "key", "row", "copies", "x.a", "x.n", F.expr("array_join(slice(lines, x.a + 1, x.n), '\n')").alias("text"))
+    words = F.regexp_count("text", F.lit(_WORD))
+    texts = texts.filter(((F.col("n") >= least_lines) & (words >= least_words)) | (words > LONG_WORDS)).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    texts = stash(texts, "stretch-texts")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), "row", "a")
+    same = texts.groupBy("sha", "text").agg(F.min(place).alias("first"), F.count("*").alias("times"))
+    # one text per digest, or none of them is touched
+    firsts = same.groupBy("sha").agg(F.count("*").alias("texts"), F.max("times").alias("times"), F.first("first").alias("first")).filter("texts = 1 and times > 1")
+    # written, so that the join deals both sides itself and can split a stretch that a third of the rows share
+    firsts = stash(firsts.select(F.col("sha").alias("_sha"), "first"), "firsts")
+    both = texts.drop("text").join(firsts, F.col("sha") == F.col("_sha"))
+    span = F.sequence("a", F.col("a") + F.col("n") - 1)
+    each = both.select(F.col("doc_id").cast("long").alias("_id"), F.col("key").alias("_key"), "copies", F.when(place != F.col("first"), span).alias("gone"), F.when(F.col("copies") > 1, span).alias("gone_again"))
+    rows = each.groupBy("_id", "_key", "copies").agg(*[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("gone", "gone_again")])
+    return stash(rows.filter((F.size("gone") > 0) | (F.size("gone_again") > 0)), "gone-lines")
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """``docs`` with the numbers of the lines that go (null: none) as ``column``."""
+    id_, key, copies, again = fresh(docs.withColumn(column, F.lit(0)), "id", "key", "copies", "again")
+    side = gone.toDF(id_, key, copies, column, again)
+    repeated = side.filter(F.col(copies) > 1)
+    once = looked_up(docs, side, "left")
+    if repeated.isEmpty():
+        return once.drop(copies, again)
+    # rows that repeat both doc_id and text: the first keeps what ``gone`` leaves, the others what ``gone_again`` leaves
+    at, least, first_at = fresh(once, "at", "least", "first_at")
+    several = stash(once.filter(F.col(copies) > 1).withColumns({at: F.monotonically_increasing_id(), key: row_key()}), "repeated-rows")
+    firsts = several.groupBy(F.col("doc_id").cast("long").alias(id_), F.col(key).alias(least)).agg(F.min(at).alias(first_at))
+    first = several.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(least)))
+    told = first.withColumn(column, F.when(F.col(at) == F.col(first_at), F.col(column)).otherwise(F.col(again))).select(*docs.columns, column)
+    return once.filter(F.coalesce(F.col(copies), F.lit(1)) == 1).select(*docs.columns, column).unionByName(told)
+
+
+def _kept(lines: str, gone: str) -> Column:
+    """The lines that stay, in order."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    return F.transform(F.array(F.col(lines)), lambda t: F.transform(left, lambda i: F.get(t, i)))[0]
 
 
 def drop_repeated_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the texts that remain; all columns and rows are kept.
 
     A text that loses nothing is unchanged, null too; one that loses all its
-    lines is empty.  Rows that repeat both doc_id and text count as one
-    occurrence and end alike.  No rows give no rows.
+    lines is empty.  Rows that repeat both doc_id and text are occurrences of their
+    own, so one of them keeps what the others lose; null doc_ids come last.  Long
+    texts are cut whole.  No rows give no rows.
     """
-    whole = _with_gone(docs, window, divisor, least_lines, least_words)
-    text = F.array_join(F.expr(f"transform({_kept(window, divisor)}, c -> c.text)"), "\n")
-    return whole.withColumn("text", F.when(F.col("_lw_gone").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    lines, gone = fresh(docs, "lines", "gone")
+    told = _with_gone(docs, removed_lines(docs, window, divisor, least_lines, least_words), gone)
+    whole = told.withColumn(lines, F.when(F.size(gone) > 0, F.split(whole_text(), "\n")))
+    return whole.withColumn("text", F.when(F.size(gone) > 0, F.array_join(_kept(lines, gone), "\n")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed (lines), kept_sha256
-    (of the remaining text, null as empty)."""
-    whole = _with_gone(docs.select("doc_id", "text"), window, divisor, least_lines, least_words)
-    one = whole.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.size("_lw_lines").cast("long").alias("n_lines"),
-        F.expr(
-            "if(_lw_gone is null, named_struct('n', cast(size(_lw_lines) as long), 'text', coalesce(cast(text as string), '')), "
-            f"transform(array({_kept(window, divisor)}), k -> named_struct('n', aggregate(k, 0L, (a, c) -> a + c.n),"
-            " 'text', array_join(transform(k, c -> c.text), '\\n')))[0])"
-        ).alias("k"),
-    )
-    return one.select("doc_id", "n_lines", (F.col("n_lines") - F.col("k.n")).alias("n_removed"), F.sha2(F.col("k.text"), 256).alias("kept_sha256"))
-
-
-#: DuckDB SQL for line_report() with its default parameters.
+    (of the remaining text, null as empty).  Ties, repeated rows, nulls and empty
+    tables are as in drop_repeated_lines()."""
+    docs = docs.select("doc_id", "text")
+    told = _with_gone(docs, removed_lines(docs, window, divisor, least_lines, least_words), "gone")
+    n_gone = F.coalesce(F.size(F.col("gone")), F.lit(0))
+    n_gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n_gone)
+    whole = told.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), n_gone.cast("long").alias("n_removed"), "gone", F.when(n_gone > 0, F.split(whole_text(), "\n")).alias("lines"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    text = F.when(F.col("n_removed") > 0, F.array_join(_kept("lines", "gone"), "\n")).otherwise(F.col("text"))
+    return whole.select("doc_id", n_lines.cast("long").alias("n_lines"), "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for line_report() with its default parameters (a window of one line).
 REPORT_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i,
-             len(string_split(text, chr(10))) AS n FROM d),
-h AS (SELECT *, CAST(CAST('0x' || substr(md5(line), 1, 8) AS UBIGINT) AS BIGINT) AS f FROM l),
-g AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > {LONG_WORDS} AS long FROM h),
-e AS (SELECT *, CASE WHEN long OR lead(long, 1, false) OVER w OR i >= {WINDOW} AND ((f + (lag(f) OVER w * {_BASE}) % {_PRIME}) % {_PRIME}) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS ends
-      FROM g WINDOW w AS (PARTITION BY r ORDER BY i)),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+g AS (SELECT *, length(line) > {LONG_CHARS} AS long, (CAST(CAST('0x' || substr(md5(line), 1, 8) AS UBIGINT) AS BIGINT) % {_PRIME}) % {DIVISOR} AS q FROM l),
+e AS (SELECT *, CASE WHEN long OR q = 0 OR lead(long, 1, false) OVER w OR lead(q, 1, 0) OVER w = 1 THEN 1 ELSE 0 END AS ends FROM g WINDOW w AS (PARTITION BY r ORDER BY i)),
 k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
-c AS (SELECT r, doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP BY r, doc_id, c),
-m AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM c),
-q AS (SELECT *, n >= {LEAST_LINES} AND words >= {LEAST_WORDS} OR words > {LONG_WORDS} AS many FROM m),
-o AS (SELECT *, many AND row_number() OVER (PARTITION BY many, text ORDER BY doc_id NULLS LAST, r, c) > 1 AS gone FROM q)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(text, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
-FROM o GROUP BY r, doc_id
+c AS (SELECT r, doc_id, c, min(i) AS a, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP BY r, doc_id, c),
+p AS (SELECT r, doc_id, a, n + lead(n) OVER w AS n, text || chr(10) || lead(text) OVER w AS text FROM c WINDOW w AS (PARTITION BY r ORDER BY c)),
+u AS (SELECT r, doc_id, a, n, text FROM c UNION ALL SELECT * FROM p WHERE n IS NOT NULL),
+m AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM u),
+o AS (SELECT r, a, n, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, r, a) AS k FROM m WHERE n >= {LEAST_LINES} AND words >= {LEAST_WORDS} OR words > {LONG_WORDS}),
+x AS (SELECT DISTINCT r, unnest(range(a, a + n)) AS i, true AS gone FROM o WHERE k > 1)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (gone IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN x ON l.r = x.r AND l.i = x.i GROUP BY l.r, doc_id
 """

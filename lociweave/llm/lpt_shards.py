@@ -39,11 +39,15 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size (UTF-8 bytes plus 1), text_crc32,
     law (``bytes``), shard, slot (gapless in the shard from 0), grown_shard (null).
 
-    Null and empty texts are one group of size-1 rows.  Repeated rows are rows of
-    their own; null doc_ids are numbered first.  No rows give no rows.
+    Null and empty texts are one group of size-1 rows; long texts count whole.
+    Repeated rows are rows of their own, and null doc_ids are numbered like any
+    other: rows are dealt to the tasks that number them by their place in the table,
+    so no value of a column can crowd one of them.  Groups of equal size go by
+    digest.  Other columns aren't read.  No rows give no rows.
     """
     text = whole_text()
     rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -61,13 +65,13 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     by_bucket = spark.createDataFrame([(k, s) for (kind, k), s in plan.items() if kind == "bucket"], "b_bucket int, b_shard int")
     # both are bounded: HEAVY and LIGHT rows
     placed = rows.join(F.broadcast(by_group), F.col("sha") == F.col("h_sha"), "left").join(F.broadcast(by_bucket), F.col("bucket") == F.col("b_bucket"), "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("h_shard", "b_shard").alias("shard"))
+    placed = placed.select("row", "doc_id", "size", "text_crc32", F.coalesce("h_shard", "b_shard").alias("shard"))
     parts = max(1, -(-rows.count() // (_NUMBERED * shards)))
-    placed = stash(placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int")), "placed")
+    placed = stash(placed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")), "placed")
     # parts x shards counts, a hundred-thousandth of the rows
     before = placed.groupBy("shard", "part").count().select(F.col("shard").alias("_s"), F.col("part").alias("_p"), F.col("count").alias("_n"))
     before = before.select("_s", "_p", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_p")) - F.col("_n")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
+    local = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
     numbered = placed.withColumn("_local", local - 1)
     out = numbered.join(before, (F.col("shard") == F.col("_s")) & (F.col("part") == F.col("_p")))
     return out.select(

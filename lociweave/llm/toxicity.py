@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import stash, whole_text
+from ._shared import fresh, stash, whole_text
 
 #: Most labelled rows that are learned from, and most terms of the lexicon.
 MAX_TRAIN = 20_000
@@ -288,35 +288,40 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
     return Model(found, fit(x, y).tolist())
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``_lw_score`` and ``_lw_predicted``; every row and column stays."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two columns more, called ``names``; every row and column stays.
+    A name that ``docs`` has already raises ValueError."""
+    if list(names) != fresh(docs, *names):
+        raise ValueError(f"the table has a column {names[0]} or {names[1]} already")
+    (text,) = fresh(docs, "text_read")
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, w = Lexicon(model.terms), np.array(model.weights)
         for rows in texts:
-            at = rows.schema.get_field_index("_lw_text")
-            x = np.array([features(t.as_py() or "", lexicon) for t in rows.column(at)]).reshape(-1, len(FEATURES))
+            last = rows.num_columns - 1
+            x = np.array([features(t.as_py() or "", lexicon) for t in rows.column(last)]).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            cols = [rows.column(i) for i in range(rows.num_columns) if i != at]
-            names = [rows.schema.field(i).name for i in range(rows.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "_lw_score", "_lw_predicted"])
+            held = rows.columns[:last], rows.schema.names[:last]
+            yield pa.RecordBatch.from_arrays([*held[0], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*held[1], *names])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField("_lw_score", T.DoubleType()), T.StructField("_lw_predicted", T.IntegerType())])
-    return docs.withColumn("_lw_text", whole_text()).mapInArrow(run, kind)
+    kind = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+    return docs.withColumn(text, whole_text()).mapInArrow(run, kind)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    A null text is empty; empty texts get the score of a text without a hit.  A
-    null doc_id isn't held out and has no label.  No rows give no rows.
+    A null text is empty; empty texts get the score of a text without a hit, and
+    long texts are read whole.  A null doc_id isn't held out and has no label.
+    Repeated rows are scored alike, each on its own; ties of a label's copies go to
+    the largest label.  Other columns aren't read.  No rows give no rows.
     """
     model = learn(docs, labels, max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
-    scored = score(rows, model, threshold)
-    return scored.select("doc_id", "held_out", F.col("_lw_score").alias("score"), F.col("_lw_predicted").alias("predicted"))
+    return score(rows, model, threshold).select("doc_id", "held_out", "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns kept."""
-    return score(docs, learn(docs, labels, max_train), threshold).filter("_lw_predicted = 0").drop("_lw_score", "_lw_predicted")
+    names = tuple(fresh(docs, "score", "predicted"))
+    return score(docs, learn(docs, labels, max_train), threshold, names).filter(F.col(names[1]) == 0).drop(*names)
