@@ -179,6 +179,13 @@ def cells_of(rects: DataFrame) -> DataFrame:
     return rects.mapInArrow(run, "i long, j long, d double")
 
 
+def row_strip(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, values) of the rows of all rectangles with the same rows, by column."""
+    ids = np.frombuffer(table.column("i")[0].as_py(), np.int64)
+    parts = sorted((int(np.frombuffer(j, np.int64)[0]), d) for j, d in zip(table.column("j").to_pylist(), table.column("d").to_pylist(), strict=True))
+    return ids, np.hstack([np.frombuffer(d, np.float32).reshape(len(ids), -1) for _, d in parts])
+
+
 def as_matrix(batches: Iterator[pa.RecordBatch], n: int) -> np.ndarray:
     """The whole matrix (float32, n x n) of rectangles over nodes 0 to n - 1, filled in as they come."""
     out = np.zeros((n, n), np.float32)

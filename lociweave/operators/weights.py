@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.params import Heuristic
+from .distance import row_strip
 
 #: Decimals of a harmonic mean that count; below lies the noise of the summing order.
 DECIMALS = 9
@@ -34,9 +35,7 @@ def harmonic_exact(nodes: DataFrame, rectangles: DataFrame) -> DataFrame:
     rectangles of the matrix, whose rows meet a block at a time."""
 
     def mean(table: pa.Table) -> pa.Table:
-        ids = np.frombuffer(table.column("i")[0].as_py(), np.int64)
-        parts = sorted((np.frombuffer(j, np.int64)[0], d) for j, d in zip(table.column("j").to_pylist(), table.column("d").to_pylist(), strict=True))
-        strip = np.hstack([np.frombuffer(d, np.float32).reshape(len(ids), -1) for _, d in parts])
+        ids, strip = row_strip(table)
         total = np.sum(np.float32(1) / (strip + np.float32(0.1)), axis=1)
         return pa.table({"node_id": ids, "h": (np.float32(strip.shape[1]) / total).astype(np.float64)})
 

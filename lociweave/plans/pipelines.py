@@ -35,6 +35,15 @@ def distance_matrix(profile: DataFrame, params: Params) -> DataFrame:
     return sinks.phylip_cells(nodes, dist, None if plain or first is None else float(first[0]))
 
 
+def distance_text(profile: DataFrame, params: Params) -> DataFrame:
+    """(row_node, row_name, line) of the PHYLIP matrix as text."""
+    nodes = encode.nodes_of(profile, params.missing)
+    plain = params.missing is Missing.ABSOLUTE_DISTANCE or params.matrix is Matrix.BLOCKWISE
+    first = nodes.select(F.size("codes")).first()
+    rects = distance.rectangles(nodes, params.matrix, params.missing, params.block_penalty)
+    return sinks.phylip_text(nodes, rects, None if plain or first is None else float(first[0]))
+
+
 def matrix_of(nodes: DataFrame, matrix: Matrix, missing: Missing) -> DataFrame:
     """The rectangles of a matrix, written once."""
     return stash(distance.rectangles(nodes, matrix, missing), "matrix")
@@ -132,4 +141,4 @@ def branching_of_matrix(spark, path: str | None = None, text: str | None = None)
     return numbered_lines(spark, path, text).groupBy().applyInPandas(run, "from_node long, to_node long")
 
 
-__all__ = ["Heuristic", "Method", "Params", "branching_of_matrix", "distance_matrix", "neighbour_joining", "network_edges", "newick_of", "run", "tree_edges"]
+__all__ = ["Heuristic", "Method", "Params", "branching_of_matrix", "distance_matrix", "distance_text", "neighbour_joining", "network_edges", "newick_of", "run", "tree_edges"]

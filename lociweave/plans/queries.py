@@ -118,8 +118,7 @@ def phylip_cells(spark, sf_dir):
 
 
 def phylip_text(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, "emb_clonal")
-    return sinks.phylip_lines(sinks.phylip_cells(nodes, distance.distances(nodes), 64.0)).select("row_node", "row_name", "line")
+    return pipelines.distance_text(_profile(spark, sf_dir, "emb_clonal"), Params())
 
 
 # -- weights ------------------------------------------------------------------

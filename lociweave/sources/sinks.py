@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.distance import row_strip
+
 
 def phylip_cells(nodes: DataFrame, dist: DataFrame, scale: float | None = None) -> DataFrame:
     """(row_node, row_name, col_node, col_name, cell): every member of a group of
@@ -34,9 +38,29 @@ def phylip_lines(cells: DataFrame) -> DataFrame:
     return head.unionByName(lines)
 
 
-def write_phylip(cells: DataFrame, path: str) -> None:
-    """The matrix as text, in order; files are in the order of their names."""
-    phylip_lines(cells).orderBy("row_node", "row_name").select("line").write.text(path)
+def phylip_text(nodes: DataFrame, rectangles: DataFrame, scale: float | None = None) -> DataFrame:
+    """The rows of phylip_lines() from the rectangles of a matrix, a strip of rows at a
+    time, without a row for each cell."""
+    times = [r["n_str"] for r in nodes.select("node_id", "n_str").orderBy("node_id").collect()]  # a number a column of one matrix
+
+    def text(table: pa.Table) -> pa.Table:
+        ids, strip = row_strip(table)
+        if scale is not None:
+            strip = (strip.astype(np.float64) / scale).astype(np.float32)
+        lines = [" ".join(v for x, n in zip(row, times, strict=True) for v in [f"{x:.6f}"] * n) for row in strip.tolist()]
+        return pa.table({"node_id": ids, "cells": lines})
+
+    members = nodes.select("node_id", F.explode("members").alias("row_name"))
+    rows = rectangles.groupBy("i").applyInArrow(text, "node_id long, cells string").join(members, "node_id")
+    name = F.when(F.length("row_name") < 10, F.rpad("row_name", 10, " ")).otherwise(F.col("row_name"))
+    lines = rows.select(F.col("node_id").alias("row_node"), "row_name", F.concat(name, F.lit(" "), "cells").alias("line"))
+    head = members.agg(F.concat(F.lit("    "), F.count("*").cast("string")).alias("line")).select(F.lit(-1).cast("long").alias("row_node"), F.lit("").alias("row_name"), "line")
+    return head.unionByName(lines)
+
+
+def write_phylip(lines: DataFrame, path: str) -> None:
+    """The lines of a matrix as text, in order; files are in the order of their names."""
+    lines.orderBy("row_node", "row_name").select("line").write.text(path)
 
 
 def write_newick(trees: DataFrame, path: str) -> None:
