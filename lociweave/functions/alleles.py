@@ -25,14 +25,6 @@ def is_missing(allele: Column) -> Column:
     return F.upper(allele).isin(*MISSING)
 
 
-def half_away(x: Column) -> Column:
-    return F.round(x)
-
-
-def half_even(x: Column) -> Column:
-    return F.bround(x)
-
-
 def branch_length(x: float) -> str:
     """A branch length as text: whole numbers bare, else six decimals without the
     zeros at the end."""

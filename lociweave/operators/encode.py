@@ -23,8 +23,9 @@ RANKED_CELLS = 1 << 24
 
 def allele_ranks(profile: DataFrame) -> DataFrame:
     """(locus, allele, code): the rank of an allele among the distinct alleles of its
-    locus by byte order, from 1; missing tokens take a rank and then get code 0."""
-    ranked = profile.select(F.posexplode("alleles").alias("locus", "allele")).distinct()
+    locus by byte order, from 1; missing tokens take a rank and then get code 0, as
+    has a null allele."""
+    ranked = profile.select(F.posexplode("alleles").alias("locus", "allele")).filter("allele is not null").distinct()
     ranked = ranked.withColumn("code", F.dense_rank().over(Window.partitionBy("locus").orderBy("allele")))
     return ranked.withColumn("code", F.when(is_missing(F.col("allele")), F.lit(0)).otherwise(F.col("code")))
 
@@ -33,15 +34,16 @@ def _coded(profile: DataFrame) -> DataFrame:
     """(row_idx, name, codes).  Alleles are replaced in their arrays where the ranks
     are few (counted); else cells are joined with their ranks."""
     ranks = stash(allele_ranks(profile), "ranks")
-    loci, alleles, n = ranks.agg(F.coalesce(F.max("locus") + 1, F.lit(0)), F.count_distinct("allele"), F.count("*")).first()
-    if n > RANKED_ALLELES or loci * alleles > RANKED_CELLS:
-        cells = profile.select("row_idx", "name", F.posexplode("alleles").alias("locus", "allele")).join(ranks, ["locus", "allele"])
-        codes = F.transform(F.array_sort(F.collect_list(F.struct("locus", "code"))), lambda c: c["code"])
+    alleles, n = ranks.agg(F.count_distinct("allele"), F.count("*")).first()
+    width = profile.agg(F.coalesce(F.max(F.size("alleles")), F.lit(0))).first()[0]
+    if n > RANKED_ALLELES or width * (alleles + 1) > RANKED_CELLS:
+        cells = profile.select("row_idx", "name", F.posexplode("alleles").alias("locus", "allele")).join(ranks, ["locus", "allele"], "left")
+        codes = F.transform(F.array_sort(F.collect_list(F.struct("locus", F.coalesce("code", F.lit(0)).alias("code")))), lambda c: c["code"])
         return cells.groupBy("row_idx", "name").agg(codes.alias("codes"))
     held = ranks.collect()  # RANKED_ALLELES rows at most
     known = pa.array(sorted({r["allele"] for r in held}), pa.string())
     place = {a: k for k, a in enumerate(known.to_pylist())}
-    table = np.zeros((loci, alleles), np.int32)
+    table = np.zeros((width, alleles + 1), np.int32)  # the last column is that of null
     for r in held:
         table[r["locus"], place[r["allele"]]] = r["code"]
 
@@ -50,7 +52,7 @@ def _coded(profile: DataFrame) -> DataFrame:
             cells = rows.column(2)
             starts = cells.offsets.to_numpy()
             at = np.arange(starts[-1] - starts[0]) - np.repeat(starts[:-1] - starts[0], np.diff(starts))
-            told = pc.index_in(cells.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            told = pc.fill_null(pc.index_in(cells.flatten(), value_set=known), alleles).to_numpy(zero_copy_only=False)
             codes = pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(table[at, told]))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), codes], ["row_idx", "name", "codes"])
 
