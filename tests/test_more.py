@@ -1,3 +1,6 @@
+import os
+
+from lociweave.functions import storage
 from lociweave.functions.synthetic import synthetic_profile
 from lociweave.operators import encode, tree
 from lociweave.plans import pipelines
@@ -49,3 +52,13 @@ def test_tiny_branches_go():
     root = tree.parse_newick("((a:0.05,b:2):3.5,c:2);")
     tree.collapse_tiny(root)
     assert [n.length for n in tree.walk(root) if n.name in ("a", "b")] == [0.0, 2.05]
+
+
+def test_stages_can_be_cleared(spark):
+    held = storage.stash(spark.range(5), "numbers")
+    assert held.count() == 5
+    folder = storage.stage_folder(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    storage.clear_stages(spark)
+    assert not os.path.exists(folder)
+    assert storage.stash(spark.range(3), "numbers").count() == 3
