@@ -309,8 +309,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits),
     component_id (the smallest doc_id that links reach).
 
-    Null and empty texts have fingerprint zero and are linked like any other.
-    Null doc_ids are never smallest unless a component has no other.  Rows that
+    Null and empty texts have fingerprint zero and are linked like any other; long
+    texts count whole.  Null doc_ids are never smallest unless a component has no other.  Rows that
     repeat a doc_id are nodes of their own.  Only doc_id and text are read.  No
     rows give no rows.
     """

@@ -234,3 +234,27 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     rows = [(1, a), (5, a + " x"), (5, b), (None, a + " y"), (None, c), (None, c + " z")]
     got = simhash.drop_near_duplicates(docs(spark, rows)).collect()
     assert sorted(x["text"] for x in got) == sorted([a, b, c, c + " z"])
+
+
+def test_a_hot_text_is_split(spark):
+    """A text in two thirds of the rows doesn't meet in one task of the last join."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    rows = [(i, "hot" if i % 3 else f"t{i}") for i in range(6000)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for f in (exact_dedup.mark_duplicates, simhash.near_duplicates):
+            out = f(docs(spark, rows, 6))
+            assert len(out.collect()) == 6000
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -266,6 +266,19 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert kept.columns == frame(spark, []).columns and 300 < kept.count() < 500
 
 
+def test_toxicity_on_the_labels_of_the_tables(spark):
+    """Over the labelled rows of the held-out fold, which nothing is learned from."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    told = {r["doc_id"]: r["toxic"] for r in read("labels").collect() if r["toxic"] is not None}
+    docs = read("documents").join(read("labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    out = [(x["score"], x["predicted"], told[x["doc_id"]]) for x in toxicity.score_documents(docs, read("labels")).filter("held_out").collect() if x["doc_id"] in told]
+    toxic, clean = [x for x in out if x[2]], [x for x in out if not x[2]]
+    assert len(toxic) > 20 and len(clean) > 200
+    assert sum(p for _, p, _ in toxic) >= 0.9 * len(toxic) and sum(p for _, p, _ in clean) <= 0.02 * len(clean)
+    above = sum((a > b) + (a == b) / 2 for a, _, _ in toxic for b, _, _ in clean) / (len(toxic) * len(clean))
+    assert above > 0.95
+
+
 def test_held_out_labels_change_nothing(spark):
     rows, labels = toxic_corpus(200)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
