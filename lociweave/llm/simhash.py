@@ -389,7 +389,8 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIM
     marked = stash(_sketches(docs, shingle, seed, anchors), "sketches")
     nodes = marked.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("n").alias("n"))
     each = nodes.select(F.lit(0).alias("combo"), F.explode("anchors").alias("part"), "fp", F.col("text_hash").alias("name"), "n")
-    shared = each.groupBy("part").count().filter("count > 1").select("part")
+    # written, so that the joins by shard deal both sides themselves and can split a large shard
+    shared = stash(each.groupBy("part").count().filter("count > 1").select("part"), "shared")
     anchored = stash(each.join(shared, "part", "left_semi"), "anchored")
     rows = anchored.withColumns({"component": F.col("name"), "apart": F.lit(None).cast("array<long>")})
     alike, apart, joined = None, None, None
@@ -405,7 +406,7 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIM
             break
         both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
         not_linked = both.groupBy(F.col("a").alias("name")).agg(F.collect_list("b").alias("apart"))
-        again = anchored.join(not_linked.select("name"), "name", "left_semi").select("part").distinct()  # shards where an edge failed
+        again = stash(anchored.join(not_linked.select("name"), "name", "left_semi").select("part").distinct(), "again")  # shards where an edge failed
         rows = anchored.join(again, "part", "left_semi").join(joined.withColumnRenamed("node", "name"), "name", "left").join(not_linked, "name", "left")
         rows = stash(rows.select("combo", "part", "fp", "name", F.coalesce("root", "name").alias("component"), "apart", "n"), "once-more")
     member = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
