@@ -6,10 +6,10 @@ import pandas as pd
 import pytest
 
 from lociweave.functions.synthetic import synthetic_profile
-from lociweave.operators import branching, margin, mst, network, nj, recraft, tree
-from lociweave.plans import pipelines
+from lociweave.operators import branching, distance, margin, mst, network, nj, recraft, tree
+from lociweave.plans import pipelines, queries
 from lociweave.plans.estimate import check_report
-from lociweave.plans.params import Matrix, Method, Params
+from lociweave.plans.params import Matrix, Method, Missing, Params
 from lociweave.sources import profiles
 
 #: Four samples in a row, each one locus from the next.
@@ -219,3 +219,40 @@ def test_params():
 def test_check_report(spark):
     rows = spark.createDataFrame([("distance", "symmetric", 1, 7, 10)], "method string, matrix string, n_proc long, n_loci long, n_profile long")
     assert check_report(rows, 1e9).first()["report"] == '{"time":5.0,"memory":5.24288E7,"affordable":true}'
+
+
+def some_codes(seed, n=60, loci=70, alleles=4):
+    r = np.random.default_rng(seed)
+    codes = np.unique(r.integers(0, alleles, (n, loci)) * (r.random((n, loci)) < 0.9), axis=0).astype(np.uint8)
+    return codes[codes.any(axis=1)]  # as nodes are
+
+
+def test_network_of_a_matrix_that_is_made_as_it_is_asked_for(monkeypatch):
+    """The same branches as from the whole matrix, with shortcuts and without, and when
+    no in-edges of smaller components are held."""
+    for seed in range(12):
+        codes = some_codes(seed, alleles=4 if seed % 2 else 2, loci=70 if seed % 3 else 9)
+        rule = (Matrix.ASYMMETRIC, Missing.PAIR_DELETE, codes.shape[1], 0.5, None, None)
+        lazy = distance.Made(distance.Bits(codes), *rule)
+        whole = distance.kernel(codes, codes, *rule)
+        np.fill_diagonal(whole, 0)
+        n = len(whole)
+        assert (lazy.block(np.arange(n)) == whole).all() and (lazy[:, 3] == whole[:, 3]).all() and (lazy[5] == whole[5]).all()
+        assert all(lazy[i, j] == whole[i, j] for i in range(n) for j in range(n))
+        w = np.random.default_rng(seed).permutation(n) / n
+        monkeypatch.setattr(network, "cutoff", lambda n: 2 if seed % 4 else -1)
+        want = network.asymmetric_network(whole, w)
+        assert network.asymmetric_network(lazy, w, short=network.shortcut_pairs(whole, w)) == want
+        assert recraft.recraft(want, lazy, w, codes.shape[1]) == recraft.recraft(want, whole, w, codes.shape[1])
+        cost = network.quantised(whole, w)
+        for held in (0, 12 * n * 3, 1 << 30):
+            assert branching.ordered_branching(cost, held) == branching.ordered_branching(network.Quantised(lazy, w), held) == branching.ordered_branching(cost)
+
+
+def test_arborescence_writes_no_matrix(spark, monkeypatch):
+    """The matrix of the network was written to the shared folder, 4 n^2 bytes."""
+    labels = []
+    monkeypatch.setattr(pipelines, "stash", lambda df, label, stash=pipelines.stash: labels.append(label) or stash(df, label))
+    for name in ("arborescence", "weights_harmonic_exact", "mstreev2_newick"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert "matrix" not in labels
