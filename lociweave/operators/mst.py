@@ -7,14 +7,15 @@ the whole.  A partition hands on n - 1 edges at most.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.params import Missing
+from .distance import Made, kernel, one_task
 
 FAN_IN = 8
 #: Edges that a task gathers before it reduces them to their forest.
@@ -62,6 +63,43 @@ def kruskal(f: pd.DataFrame) -> pd.DataFrame:
     return f.iloc[np.sort(order[np.concatenate(kept)])] if kept else f.iloc[:0]
 
 
+def prim(m: Made, w: np.ndarray) -> pd.DataFrame:
+    """The tree of spanning_tree(costs(...)) as (i, j, cost), of a matrix whose rows are made as a
+    node joins the tree.  Edges are compared by (cost, i, j) too, so it is the same; several
+    components, where costs of 0 part them, are a forest.  It holds a few numbers a node."""
+    n, out = len(w), []
+    rest = np.arange(1, n)  # nodes outside, each with its best edge inwards; some are done
+    cost, inner, done = np.full(len(rest), np.inf), np.zeros(len(rest), np.int64), np.zeros(len(rest), bool)
+    bits, u = m.bits[rest] if n > 1 else None, 0
+    while (left := len(rest) - np.count_nonzero(done)) > 0:
+        if left < 0.8 * len(rest):
+            rest, cost, inner, bits = rest[~done], cost[~done], inner[~done], bits[~done]
+            done = np.zeros(left, bool)
+        c = np.floor(kernel(m.bits[np.array([u])], bits, *m.rule)[0].astype(np.float64) + 0.5) + np.minimum(w[u], w[rest])
+        c[(c == 0) | done] = np.inf
+        # of equal edges to a node, that from the smaller one comes first, whichever end is smaller
+        nearer = (c < cost) | ((c == cost) & (u < inner) & (c < np.inf))
+        cost[nearer], inner[nearer] = c[nearer], u
+        ties = np.flatnonzero(cost == cost.min())
+        if np.isinf(cost[ties[0]]):
+            k = int(np.flatnonzero(~done)[0])  # another component
+        else:
+            k = int(min(ties, key=lambda k: (min(inner[k], rest[k]), max(inner[k], rest[k]))) if len(ties) > 1 else ties[0])
+            out.append((min(int(inner[k]), int(rest[k])), max(int(inner[k]), int(rest[k])), float(cost[k])))
+        u, done[k], cost[k] = int(rest[k]), True, np.inf
+    return pd.DataFrame(out, columns=["i", "j", "cost"]).astype({"i": "int64", "j": "int64", "cost": "float64"})
+
+
+def spanning_tree_made(spark: SparkSession, make: Callable[[], Made], w: np.ndarray) -> DataFrame:
+    """spanning_tree() of a matrix that is made in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            yield prim(make(), w)
+
+    return numbered(one_task(spark).mapInPandas(run, "i long, j long, cost double"), "i", "cost", "j")
+
+
 def _local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, n = [], 0
     for f in frames:

@@ -1,15 +1,16 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from lociweave.functions.synthetic import synthetic_profile
-from lociweave.operators import branching, distance, margin, mst, network, nj, recraft, tree
+from lociweave.operators import branching, distance, encode, margin, mst, network, nj, recraft, tree, weights
 from lociweave.plans import pipelines, queries
 from lociweave.plans.estimate import check_report
-from lociweave.plans.params import Matrix, Method, Missing, Params
+from lociweave.plans.params import Heuristic, Matrix, Method, Missing, Params
 from lociweave.sources import profiles
 
 #: Four samples in a row, each one locus from the next.
@@ -256,3 +257,49 @@ def test_arborescence_writes_no_matrix(spark, monkeypatch):
     for name in ("arborescence", "weights_harmonic_exact", "mstreev2_newick"):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert "matrix" not in labels
+
+
+def test_spanning_tree_of_a_matrix_that_is_made(spark):
+    """The same tree as from all edges; costs of 0 are none."""
+    for seed in range(8):
+        codes = some_codes(seed, n=50, loci=5 if seed % 2 else 40, alleles=3)
+        m = distance.Made(distance.Bits(codes), Matrix.SYMMETRIC, Missing.PAIR_DELETE, codes.shape[1], 0.5, None, None)
+        n = len(m)
+        w = np.random.default_rng(seed).permutation(n) / n if seed % 3 else np.zeros(n)
+        rows = [(i, j, float(np.floor(float(m[i, j]) + 0.5) + min(w[i], w[j]))) for i in range(n) for j in range(i + 1, n)]
+        want = mst.kruskal(pd.DataFrame([x for x in rows if x[2]], columns=["i", "j", "cost"]))
+        assert sorted(map(tuple, mst.prim(m, w).itertuples(index=False))) == sorted(map(tuple, want.itertuples(index=False)))
+    assert len(mst.prim(distance.Made(distance.Bits(codes[:1]), *m.rule), w[:1])) == 0
+
+
+def test_weights_of_strips(spark):
+    """As from rows of the matrix, by either heuristic."""
+    made = synthetic_profile(spark, 40, 9)
+    nodes = encode.nodes_of(made)
+    make, dist = distance.made(nodes), distance.distances(nodes)
+    for heuristic in Heuristic:
+        a, b = weights.weights_made(nodes, make, heuristic), weights.weights(nodes, dist, heuristic)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_joining_by_bounds_is_joining_all_pairs():
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        n = 90
+        x = r.random((n, 4)) if seed % 2 else some_codes(seed, n=n, loci=30)[:, :30].astype(float)
+        n = len(x)
+        d = np.abs(x[:, None] - x[None]).sum(-1) + r.random((n, n)) * 1e-3
+        d = d + d.T
+        np.fill_diagonal(d, 0)
+        names = [f"x{k}" for k in range(n)]
+        assert nj.neighbour_joining(d, names, few=4) == nj.neighbour_joining(d, names, few=n)
+
+
+def test_joining_makes_few_passes_over_the_matrix():
+    """1,500 nodes took a pass over all pairs each: 1,500^3 / 3 pairs, several minutes."""
+    r = np.random.default_rng(9)
+    x = r.random((1500, 5))
+    d = np.abs(x[:, None] - x[None]).sum(-1)
+    start = time.process_time()
+    text = nj.neighbour_joining(d, [f"x{k}" for k in range(1500)], few=50)
+    assert time.process_time() - start < 10 and text.count(",") == 1499
