@@ -303,3 +303,32 @@ def test_joining_makes_few_passes_over_the_matrix():
     start = time.process_time()
     text = nj.neighbour_joining(d, [f"x{k}" for k in range(1500)], few=50)
     assert time.process_time() - start < 10 and text.count(",") == 1499
+
+
+def test_rounds_over_columns_that_are_made(spark):
+    """The same arborescence and margins as from the whole matrix, whatever is held."""
+    for seed in range(10):
+        codes = some_codes(seed, n=50, alleles=4 if seed % 2 else 2, loci=64 if seed % 3 else 9)
+        rule = (Matrix.ASYMMETRIC, Missing.PAIR_DELETE, codes.shape[1], 0.5, None, None)
+        bits = distance.Bits(codes)
+        whole = distance.Made(bits, *rule).block(slice(None))
+        n = len(whole)
+        w = np.random.default_rng(seed).permutation(n) / n
+        cost = np.floor(whole.astype(float) + 0.5) + w[:, None]
+        want = branching.dense_branching(cost)
+        for held in (0, 1 << 30):
+            got = branching.round_branching(network.Rounded(distance.Made(bits, *rule), w), (codes.shape[1] + 2.0) * (n + 1), held)
+            assert len({t for _, t in got}) == len(got) == n - 1
+            assert abs(total(cost, got) - total(cost, want)) < 1e-6
+    ranges = margin.subtree_ranges(want)
+    dist = spark.createDataFrame([(i, j, float(whole[i, j])) for i in range(n) for j in range(n) if i != j], "i long, j long, d double")
+    plain = margin.margins(spark.createDataFrame(ranges, "node long, parent long, tin long, tout long"), dist)
+    got = margin.margins_made(spark, np.array(ranges), n, lambda: distance.Made(bits, *rule))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_margins_and_text_write_no_matrix(spark, monkeypatch):
+    """Both gathered the matrix: 24 n^2 bytes in a task, and the text of a block of rows."""
+    monkeypatch.setattr(distance, "rectangles", None)
+    assert queries.QUERIES["margin_report"](spark, "/root/testdata/sf0.001").count()
+    assert queries.QUERIES["phylip_text"](spark, "/root/testdata/sf0.001").count() == 501
