@@ -26,11 +26,20 @@ most.  The trees give the shortest spanning forest of a shard, and the sets of
 shingles of each of its edges are compared before it is a link.  Where an edge
 failed, the shard is searched again without it and for what is still apart, ROUNDS
 times at most.
+
+That leaves out links: by the radius, by the anchors, and behind failed edges.  The
+rest is exact.  In one order of all hashes, texts of similarity s have a hash in common
+among the first n - ceil(s n) + 1 of each, n being the size of its set (the prefix).  Of
+every two texts that share a hash of their prefixes and aren't in one component yet, the
+sizes, the places of that hash and the parities of their sets' bits bound what they can
+share; where that is enough, their sets are compared.  The order may be any; hashes that
+come often in a sample of the texts are last, so few texts share one of a prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -56,6 +65,17 @@ SIMILAR_RADIUS = 16
 ANCHORS = 8
 ROUNDS = 3
 _FEW = 16
+#: Texts that the order of the hashes is taken from, about; how many of them have a hash that
+#: comes often, and most such hashes.  Any order gives the same links.
+ORDER_TEXTS, OFTEN, MOST_OFTEN = 4096, 4, 50_000
+#: Bits of a set's parities: about as many as it has hashes, within these.
+_LEAST_BITS, _MOST_BITS = 64, 1 << 14
+#: Most of them that go to each shard of a text.
+_SHARD_BITS = 256
+#: Texts whose sets a worker holds at once.
+PIECE_ROWS = 512
+#: For rounding, in a comparison of a whole number with a share of others.
+_EPS = 1e-6
 
 
 def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -195,12 +215,73 @@ def _shortest(tree: list[tuple], queries: list[tuple] | None, radius: int, least
                 out.append((every[i][1], every[j][1]))
 
 
-def _search(radius: int, least: float | None):
-    """Over rows (combo, part, i, j, sub, fp, ...) sorted by the first four: of each
-    tree and its queries the forest, or the shortest forest of names where a ``least``
-    share is given."""
-    named = least is not None
-    grow = partial(_shortest, least=least) if named else _forest
+def _parities(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes: whether their number is odd.  Two sets
+    differ in as many hashes at least as these differ in bits."""
+    width = min(_MOST_BITS, max(_LEAST_BITS, 1 << (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, width: int) -> bytes:
+    """The parities that fewer remainders have."""
+    if 8 * len(bits) <= width:
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width // 8), axis=0).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Least number of hashes that two sets of these parities differ in."""
+    if len(x) != len(y):
+        x, y = _folded(x, 8 * len(y)), _folded(y, 8 * len(x))
+    return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _may_share(x: bytes, y: bytes, both: int, least: float) -> bool:
+    """Whether two sets of these parities, of ``both`` hashes in sum, may share ``least``."""
+    return _differ(x, y) <= both * (1 - least) / (1 + least) + _EPS
+
+
+def _across(tree: list[tuple], queries: list[tuple] | None, least: float) -> list[tuple[int, int]]:
+    """Of nodes (name, component, size of its set, place of the shared hash in its
+    order, parities), the names of every two of different components, between a tree
+    and queries or within the tree, that may share ``least``, if that hash is the first
+    they have in common."""
+    every = [(v, 0) for v in tree] + [(v, 1) for v in queries or ()]
+    every.sort(key=lambda v: v[0][2])
+    within, share, out = queries is None, least / (1 + least), []
+
+    def look(i: int, j: int) -> None:
+        (x, _), (y, _) = every[i], every[j]
+        if _may_share(x[4], y[4], x[2] + y[2], least):
+            out.append((x[0], y[0]))
+
+    if len(every) <= _FEW:
+        for i, (x, side) in enumerate(every):
+            for j in range(i + 1, len(every)):
+                y, other = every[j]
+                if x[2] + _EPS < least * y[2]:
+                    break
+                if (within or side != other) and x[1] != y[1] and min(x[2] - x[3], y[2] - y[3]) + _EPS >= share * (x[2] + y[2]):
+                    look(i, j)
+        return out
+    component, n, at = (np.array([v[k] for v, _ in every], np.int64) for k in (1, 2, 3))
+    side, left = np.array([v[1] for v in every]), n - at
+    ends = np.searchsorted(least * n, n + _EPS, "right")
+    for i in range(len(every)):
+        to = slice(i + 1, ends[i])
+        fit = (component[to] != component[i]) & (np.minimum(left[to], left[i]) + _EPS >= share * (n[to] + n[i]))
+        if not within:
+            fit &= side[to] != side[i]
+        for j in np.flatnonzero(fit).tolist():
+            look(i, i + 1 + j)
+    return out
+
+
+def _search(grow: Callable, columns: int):
+    """Over rows (combo, part, i, j, sub, ...) sorted by the first four: of each tree and
+    its queries the pairs that ``grow`` gives.  A node is what follows ``sub``, a tuple
+    of so many ``columns``, or the fingerprint alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, queries, out = None, [], [], []
@@ -210,26 +291,26 @@ def _search(radius: int, least: float | None):
                 return
             if key[2] == key[3]:
                 if len(tree) > 1:
-                    out.extend(grow(tree, None, radius))
+                    out.extend(grow(tree, None))
             elif tree and queries:
-                out.extend(grow(tree, queries, radius))
+                out.extend(grow(tree, queries))
 
         def batch() -> pa.RecordBatch:
-            pairs = np.array(out, np.int64 if named else np.uint64).view(np.int64).reshape(-1, 2)
+            pairs = np.array(out, np.int64 if columns > 1 else np.uint64).view(np.int64).reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for rows in batches:
             cols = [rows.column(i).to_pylist() for i in range(5)]
-            fps = rows.column(5).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-            nodes = list(zip(fps, *(rows.column(i).to_pylist() for i in (6, 7, 8, 9)), strict=True)) if named else fps
-            for c, p, i, j, sub, node in zip(*cols, nodes, strict=True):
+            own = [rows.column(5 + i) for i in range(columns)]
+            read = [c.to_numpy(zero_copy_only=False).view(np.uint64).tolist() if rows.schema.names[5 + i] == "fp" else c.to_pylist() for i, c in enumerate(own)]
+            for c, p, i, j, sub, node in zip(*cols, zip(*read, strict=True) if columns > 1 else read[0], strict=True):
                 if key != (c, p, i, j):
                     end()
                     key, tree, queries = (c, p, i, j), [], []
+                    if len(out) > 4096:
+                        yield batch()
                 (tree if sub == i else queries).append(node)
-            if len(out) > 4096:
-                yield batch()
         end()
         if out:
             yield batch()
@@ -237,19 +318,18 @@ def _search(radius: int, least: float | None):
     return run
 
 
-def _in_shards(rows: DataFrame, radius: int, tree_nodes: int, least: float | None = None) -> DataFrame:
-    """(a, b) links of rows (combo, part, fp and, with ``least``, name, component, apart
-    and n): each shard (combo, part) is searched by trees of ``tree_nodes`` nodes at most."""
-    own = ["fp"] if least is None else ["fp", "name", "component", "apart", "n"]
+def _in_shards(rows: DataFrame, tree_nodes: int, grow: Callable, own: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(a, b) links of rows (combo, part and the columns ``own``) by ``grow``: each shard
+    (combo, part) is searched by trees of ``tree_nodes`` nodes at most."""
     counts = rows.groupBy("combo", "part").count().filter(F.col("count") > tree_nodes)
     large = stash(counts.select("combo", "part", F.ceil(F.col("count") / tree_nodes).cast("int").alias("trees")), "large-shards")
     side = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     rows = rows.join(side, ["combo", "part"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("fp" if least is None else "name"), F.col("trees")).cast("int"))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("name" if "name" in own else "fp"), F.col("trees")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     rows = rows.select("combo", "part", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "sub", *own)
     dealt = rows.repartition("combo", "part", "i", "j").sortWithinPartitions("combo", "part", "i", "j")
-    return dealt.mapInArrow(_search(radius, least), "a long, b long")
+    return dealt.mapInArrow(_search(grow, len(own)), "a long, b long")
 
 
 def forest(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, blocks: int | None = None) -> DataFrame:
@@ -272,7 +352,7 @@ def forest(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES,
     signed = [m - (1 << 64) if m >> 63 else m for m in dict.fromkeys(masks)]
     parts = F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part")) for c, m in enumerate(signed)])
     rows = nodes.select("fp", F.explode(parts).alias("s")).select("s.combo", "s.part", "fp")
-    return _in_shards(rows, radius, tree_nodes)
+    return _in_shards(rows, tree_nodes, partial(_forest, radius=radius))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,30 +422,103 @@ def shingle_set(raw: bytes, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) ->
     return np.unique(np.array(shingle_hashes(raw, shingle, seed), "<u8"))
 
 
-def _sketches(docs: DataFrame, shingle: int, seed: int, anchors: int) -> DataFrame:
-    """doc_id, text_hash, fp, the least shingle hashes and their number of the rows that have words."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of PIECE_ROWS rows, so that few sets are held at once."""
+    for rows in batches:
+        for at in range(0, rows.num_rows, PIECE_ROWS):
+            yield rows.slice(at, PIECE_ROWS)
+
+
+def _often(docs: DataFrame, count: int, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that come often in a sample of about ORDER_TEXTS texts, sorted, and in how many."""
+    some = docs.filter(F.pmod(F.xxhash64(F.lit("order"), row_key()), F.lit(max(1, round(count / ORDER_TEXTS)))) == 0)
+    each = _sets(some, shingle, seed).select(F.explode("hashes").alias("h")).groupBy("h").count()
+    top = each.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST_OFTEN).toArrow()
+    hashes, counts = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefix(hashes: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set, sorted, the first hashes in the common order: of any other that shares
+    ``least`` with it, one is in that set's prefix too."""
+    known, counts = often
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: len(hashes) - math.ceil(least * len(hashes) - _EPS) + 1]
+
+
+def _sketches(docs: DataFrame, shingle: int, seed: int, anchors: int, least: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, text_hash, fp, the least shingle hashes, their number, the prefix and the
+    parities of the rows that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            fps, least, sizes = [], [], []
+        for rows in _pieces(batches):
+            fps, first, sizes, prefixes, few, bits = [], [], [], [], [], []
             for t in rows.column(2):
                 h = np.array(shingle_hashes(t.as_py() or b"", shingle, seed), "<u8")
                 fps.append(_majority(h))
                 h = np.unique(h)
-                least.append(h[:anchors].view(np.int64))
+                first.append(h[:anchors].view(np.int64))
                 sizes.append(len(h))
-            cols = pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(sizes, pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cols], ["doc_id", "text_hash", "fp", "anchors", "n"])
+                prefixes.append(_prefix(h, least, often).view(np.int64) if len(h) else h.view(np.int64))
+                bits.append(_parities(h) if len(h) else b"")
+                few.append(_folded(bits[-1], _SHARD_BITS))
+            longs = pa.list_(pa.int64())
+            cols = pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, longs), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(few, pa.binary()), pa.array(bits, pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cols], ["doc_id", "text_hash", "fp", "anchors", "n", "prefix", "few", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, anchors array<long>, n long").filter(F.size("anchors") > 0)
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, anchors array<long>, n long, prefix array<long>, few binary, bits binary").filter(F.size("anchors") > 0)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column those that aren't alone with its value."""
+    before, last = None, None  # the value that came last, and its row while it's alone
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        part = rows.column(0).to_numpy()
+        same = np.append(part[1:] == part[:-1], False)
+        keep = same | np.insert(same[:-1], 0, part[0] == before)
+        if last is not None and part[0] == before:
+            yield last
+        alone = not keep[-1]
+        if keep.any():
+            yield rows.filter(pa.array(keep))
+        before, last = part[-1], rows.slice(rows.num_rows - 1) if alone else None
+
+
+def _rest(marked: DataFrame, joined: DataFrame, tree_nodes: int, least: float) -> DataFrame:
+    """(a, b), a < b, of texts in different components that may share ``least``; every
+    such pair that does is among them."""
+    each = marked.select(F.col("text_hash").alias("name"), "n", F.posexplode("prefix").alias("at", "part")).select("part", "name", "n", F.col("at").cast("long").alias("at"))
+    shared = each.repartition("part").sortWithinPartitions("part").mapInArrow(_together, "part long, name long, n long, at long")
+    side = joined.select(F.col("node").alias("name"), "root")
+    side = F.broadcast(side) if joined.count() <= BROADCAST_ROWS else side
+    shared = stash(shared.join(side, "name", "left").select(F.lit(0).alias("combo"), "part", "name", F.coalesce("root", "name").alias("component"), "n", "at"), "prefixes")
+    open_ = shared.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("part")
+    bits = stash(marked.select(F.col("text_hash").alias("name"), "n", "few", "bits").dropDuplicates(["name"]), "parities")
+    rows = stash(shared.join(stash(open_, "open"), "part", "left_semi").join(bits.select("name", "few"), "name"), "apart")
+    found = _in_shards(rows, tree_nodes, partial(_across, least=least), ("name", "component", "n", "at", "few"))
+    found = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "may-share")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
+            keep = [_may_share(x, y, n, least) for n, x, y in zip(*(rows.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    for end in ("a", "b"):
+        found = found.join(bits.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    return found.select("a", "b", F.col("n_a") + F.col("n_b"), "bits_a", "bits_b").mapInArrow(look, "a long, b long")
 
 
 def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
     """(name, hashes) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in _pieces(batches):
             sets = [shingle_set(t.as_py() or b"", shingle, seed).view(np.int64) for t in rows.column(1)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], ["name", "hashes"])
 
@@ -385,8 +538,10 @@ def _compared(links: DataFrame, docs: DataFrame, nodes: DataFrame, least: float,
 
 def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, seed: int = SEED, anchors: int = ANCHORS, tree_nodes: int = TREE_NODES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_hash, component_id (the smallest doc_id that links reach) of the
-    rows whose text is like another's: ``least`` of their shingles or more."""
-    marked = stash(_sketches(docs, shingle, seed, anchors), "sketches")
+    rows whose text is like another's: ``least`` of their shingles or more.  ``radius``,
+    ``anchors`` and ``rounds`` say what the trees find; no link depends on them."""
+    often = _often(docs, docs.count(), shingle, seed)
+    marked = stash(_sketches(docs, shingle, seed, anchors, least, often), "sketches")
     nodes = marked.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors"), F.first("n").alias("n"))
     each = nodes.select(F.lit(0).alias("combo"), F.explode("anchors").alias("part"), "fp", F.col("text_hash").alias("name"), "n")
     # written, so that the joins by shard deal both sides themselves and can split a large shard
@@ -395,7 +550,7 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIM
     rows = anchored.withColumns({"component": F.col("name"), "apart": F.lit(None).cast("array<long>")})
     alike, apart, joined = None, None, None
     for turn in range(rounds):
-        found = _in_shards(rows, radius, tree_nodes, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = _in_shards(rows, tree_nodes, partial(_shortest, radius=radius, least=least), ("fp", "name", "component", "apart", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = stash(_compared(stash(found.distinct(), "nominated"), docs, nodes, least, shingle, seed), "compared")
         good, bad = found.filter("alike").select("a", "b"), found.filter(~F.col("alike")).select("a", "b")
         if joined is not None and good.isEmpty():
@@ -409,6 +564,10 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIM
         again = stash(anchored.join(not_linked.select("name"), "name", "left_semi").select("part").distinct(), "again")  # shards where an edge failed
         rows = anchored.join(again, "part", "left_semi").join(joined.withColumnRenamed("node", "name"), "name", "left").join(not_linked, "name", "left")
         rows = stash(rows.select("combo", "part", "fp", "name", F.coalesce("root", "name").alias("component"), "apart", "n"), "once-more")
+    rest = stash(_rest(marked, joined, tree_nodes, least).join(apart, ["a", "b"], "left_anti"), "rest")
+    late = stash(_compared(rest, docs, nodes, least, shingle, seed).filter("alike").select("a", "b"), "late")
+    if not late.isEmpty():
+        joined = stash(components(alike.unionByName(late)), "alike")
     member = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     found = stash(marked.join(member, F.col("text_hash") == F.col("node")).select("doc_id", "text_hash", "root"), "members")
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
