@@ -32,6 +32,8 @@ from ._shared import fresh, stash, whole_text
 #: Most labelled rows that are learned from, and most terms of the lexicon.
 MAX_TRAIN = 20_000
 MAX_TERMS = 4096
+#: Most files that the counts of the words of those rows are written to.
+WORD_FILES = 16
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 #: (log-odds, their z) from which a term is held, and from which it is a strong one.
@@ -268,7 +270,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
     first = sample.filter("half = 0").select("toxic", words.alias("w"))
     uses = first.select("toxic", F.explode(F.expr(f"array_distinct({seen})")).alias("use"))
     uses = uses.distinct().select("toxic", F.split("use", " ")[0].alias("t")).filter(F.length("t").between(3, 40))
-    whole = stash(uses.groupBy("t").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g")), "words")
+    whole = uses.groupBy("t").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
+    whole = stash(whole.coalesce(WORD_FILES), "words")  # a file costs executors without native Hadoop several processes
     bad, good = whole.agg(F.sum("b"), F.sum("g")).first()
     terms = {s: (s, "word", 2) for s in SEEDS}
     if bad and good:

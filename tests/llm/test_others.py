@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lociweave.functions import storage
 from lociweave.llm import chat_prefix, line_chunks, lpt_shards, pii, toxicity
 
 D = "doc_id long, text string, sha string, size long, shard int, bucket int, slot long, idx int, score double"
@@ -420,3 +421,19 @@ def test_decoding_against_all_paths():
 def test_redaction(spark):
     out = {x["doc_id"]: x["text"] for x in pii.redact(frame(spark, [(1, "to a@b.cd, ip 1.2.3.4."), (2, None), (3, "")])).collect()}
     assert out == {1: "to <email>, ip <ip>.", 2: None, 3: ""}
+
+
+def test_counts_of_words_are_in_few_files(spark, tmp_path, monkeypatch):
+    rows, labels = toxic_corpus()
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(storage, "stage_folder", lambda spark: f"file://{tmp_path}")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        toxicity.learn(frame(spark, rows), table)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 1 <= len(list(tmp_path.glob("words-*/part-*"))) <= 16
