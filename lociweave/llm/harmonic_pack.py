@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
 from .tokens import default_vocabulary, encoder
 
 CAPACITY = 1024
@@ -139,5 +140,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         if done:
             yield batch()
 
+    small_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
     return out if keep_ids else out.drop("ids")

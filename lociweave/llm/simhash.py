@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, fresh, looked_up, row_key, stash
+from ._shared import BROADCAST_ROWS, fresh, looked_up, row_key, small_batches, stash
 
 SHINGLE = 3
 RADIUS = 3
@@ -57,6 +57,7 @@ TREE_NODES = 2048
 #: Nodes that a shard should hold, about.
 SHARD_NODES = 768
 _BITS_AT_ONCE = 1 << 15
+_PAIRS_AT_ONCE = 4096
 
 #: Of drop_similar(): words of a shingle, least share in common, bits, shards of a text, searches.
 SIMILAR_SHINGLE = 5
@@ -114,6 +115,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in rows.column(2)), np.uint64, rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
@@ -195,8 +197,9 @@ def _shortest(tree: list[tuple], queries: list[tuple] | None, radius: int, least
     at_name = {v[1]: j for j, v in enumerate(every[first:])}
     for i, v in enumerate(tree):
         between[i, [at_name[x] for x in v[3] or () if x in at_name]] = far
-    a, b = np.array([v[4] for v in tree])[:, None], np.array([v[4] for v in every[first:]])[None, :]
-    between[np.minimum(a, b) < least * np.maximum(a, b)] = far
+    sizes = np.array([v[4] for v in every[first:]])
+    for at, v in enumerate(tree):  # a row at a time: sizes in 8 bytes for every pair would take several times the distances
+        between[at, np.minimum(v[4], sizes) < least * np.maximum(v[4], sizes)] = far
     label = np.unique(np.array([v[2] for v in every], np.int64), return_inverse=True)[1]
     rows, cols = np.arange(len(tree)), np.arange(first, n)
     while True:  # every component takes its shortest edge to another
@@ -242,19 +245,18 @@ def _may_share(x: bytes, y: bytes, both: int, least: float) -> bool:
     return _differ(x, y) <= both * (1 - least) / (1 + least) + _EPS
 
 
-def _across(tree: list[tuple], queries: list[tuple] | None, least: float) -> list[tuple[int, int]]:
+def _across(tree: list[tuple], queries: list[tuple] | None, least: float) -> Iterator[tuple[int, int]]:
     """Of nodes (name, component, size of its set, place of the shared hash in its
     order, parities), the names of every two of different components, between a tree
     and queries or within the tree, that may share ``least``, if that hash is the first
-    they have in common."""
+    they have in common.  One at a time: they may be the square of the nodes."""
     every = [(v, 0) for v in tree] + [(v, 1) for v in queries or ()]
     every.sort(key=lambda v: v[0][2])
-    within, share, out = queries is None, least / (1 + least), []
+    within, share = queries is None, least / (1 + least)
 
-    def look(i: int, j: int) -> None:
+    def may(i: int, j: int) -> bool:
         (x, _), (y, _) = every[i], every[j]
-        if _may_share(x[4], y[4], x[2] + y[2], least):
-            out.append((x[0], y[0]))
+        return _may_share(x[4], y[4], x[2] + y[2], least)
 
     if len(every) <= _FEW:
         for i, (x, side) in enumerate(every):
@@ -262,9 +264,9 @@ def _across(tree: list[tuple], queries: list[tuple] | None, least: float) -> lis
                 y, other = every[j]
                 if x[2] + _EPS < least * y[2]:
                     break
-                if (within or side != other) and x[1] != y[1] and min(x[2] - x[3], y[2] - y[3]) + _EPS >= share * (x[2] + y[2]):
-                    look(i, j)
-        return out
+                if (within or side != other) and x[1] != y[1] and min(x[2] - x[3], y[2] - y[3]) + _EPS >= share * (x[2] + y[2]) and may(i, j):
+                    yield x[0], y[0]
+        return
     component, n, at = (np.array([v[k] for v, _ in every], np.int64) for k in (1, 2, 3))
     side, left = np.array([v[1] for v in every]), n - at
     ends = np.searchsorted(least * n, n + _EPS, "right")
@@ -274,8 +276,8 @@ def _across(tree: list[tuple], queries: list[tuple] | None, least: float) -> lis
         if not within:
             fit &= side[to] != side[i]
         for j in np.flatnonzero(fit).tolist():
-            look(i, i + 1 + j)
-    return out
+            if may(i, i + 1 + j):
+                yield every[i][0][0], every[i + 1 + j][0][0]
 
 
 def _search(grow: Callable, columns: int):
@@ -286,14 +288,15 @@ def _search(grow: Callable, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, queries, out = None, [], [], []
 
-        def end() -> None:
-            if key is None:
+        def end() -> Iterator[pa.RecordBatch]:
+            if key is None or len(tree) + len(queries) < 2 or not tree:
+                return
+            if key[2] != key[3] and not queries:
                 return
-            if key[2] == key[3]:
-                if len(tree) > 1:
-                    out.extend(grow(tree, None))
-            elif tree and queries:
-                out.extend(grow(tree, queries))
+            for pair in grow(tree, None if key[2] == key[3] else queries):
+                out.append(pair)
+                if len(out) >= _PAIRS_AT_ONCE:
+                    yield batch()
 
         def batch() -> pa.RecordBatch:
             pairs = np.array(out, np.int64 if columns > 1 else np.uint64).view(np.int64).reshape(-1, 2)
@@ -306,12 +309,10 @@ def _search(grow: Callable, columns: int):
             read = [c.to_numpy(zero_copy_only=False).view(np.uint64).tolist() if rows.schema.names[5 + i] == "fp" else c.to_pylist() for i, c in enumerate(own)]
             for c, p, i, j, sub, node in zip(*cols, zip(*read, strict=True) if columns > 1 else read[0], strict=True):
                 if key != (c, p, i, j):
-                    end()
+                    yield from end()
                     key, tree, queries = (c, p, i, j), [], []
-                    if len(out) > 4096:
-                        yield batch()
                 (tree if sub == i else queries).append(node)
-        end()
+        yield from end()
         if out:
             yield batch()
 
@@ -469,6 +470,7 @@ def _sketches(docs: DataFrame, shingle: int, seed: int, anchors: int, least: flo
             cols = pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, longs), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(few, pa.binary()), pa.array(bits, pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *cols], ["doc_id", "text_hash", "fp", "anchors", "n", "prefix", "few", "bits"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("text_hash"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, anchors array<long>, n long, prefix array<long>, few binary, bits binary").filter(F.size("anchors") > 0)
 
@@ -522,6 +524,7 @@ def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
             sets = [shingle_set(t.as_py() or b"", shingle, seed).view(np.int64) for t in rows.column(1)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], ["name", "hashes"])
 
+    small_batches(docs.sparkSession)
     return docs.select(row_key().alias("name"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "name long, hashes array<long>")
 
 

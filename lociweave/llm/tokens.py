@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -47,11 +48,16 @@ class Encoder:
     special tokens in a text become their ids, and none are added."""
 
     def __init__(self, path: str):
+        self._path = path
+        self._fast = _fast(path)
+
+    @cached_property
+    def _own(self):
+        """The vocabulary's own library, loaded only where it is needed."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._own = Tokenizer.from_file(path)
-        self._fast = _fast(path)
+        return Tokenizer.from_file(self._path)
 
     def plain_ids(self, text: str) -> bytes:
         """By the vocabulary's own library."""

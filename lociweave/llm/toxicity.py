@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fresh, stash, whole_text
+from ._shared import fresh, small_batches, stash, whole_text
 
 #: Most labelled rows that are learned from, and most terms of the lexicon.
 MAX_TRAIN = 20_000
@@ -307,6 +307,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tu
             held = rows.columns[:last], rows.schema.names[:last]
             yield pa.RecordBatch.from_arrays([*held[0], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*held[1], *names])
 
+    small_batches(docs.sparkSession)
     kind = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return docs.withColumn(text, whole_text()).mapInArrow(run, kind)
 
