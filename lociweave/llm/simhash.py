@@ -15,8 +15,8 @@ put the fingerprints of all documents on the driver, which nothing bounds; a
 shard's tree goes only to the queries that can match it.)
 
 A tree search gives links; what leaves the task is a spanning forest of them
-(node, root), never all pairs.  Star contraction then joins the forests to
-components, in the shared folder.
+(node, root), never all pairs.  Star contraction in the shared folder then joins the
+forests to components; where they have BROADCAST_ROWS links or fewer, one task does.
 
 Texts that share 0.8 of their five-word shingles differ in up to 16 bits, and no
 blocks of 64 bits hold those apart.  ``drop_similar`` deals its shards by content
@@ -356,10 +356,33 @@ def forest(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES,
     return _in_shards(rows, tree_nodes, partial(_forest, radius=radius))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node with a link: alternating large and small stars
-    until nothing changes.  Each round is written to the shared folder."""
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node that links reach) of links (u, v), for nodes that aren't least."""
+    ends = [np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy()]) for rows in batches]
+    if not ends:
+        return
+    nodes, place = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    place = place.reshape(2, -1)
+    label = np.arange(len(nodes))  # places are in the order of the nodes
+    while True:
+        x, y = label[place]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["node", "root"])
+
+
+def components(links: DataFrame, at_once: int = BROADCAST_ROWS) -> DataFrame:
+    """(node, root) for every node with a link that isn't its root, the least node that
+    links reach.  ``at_once`` links or fewer (counted) are closed in one task, which saves
+    several shuffles a round; more by alternating large and small stars until nothing
+    changes, each round written to the shared folder."""
     edges = stash(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.count() <= at_once:
+        return stash(edges.coalesce(1).mapInArrow(_closed, "node long, root long"), "closed")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -559,7 +582,7 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIM
         if joined is not None and good.isEmpty():
             break
         alike, apart = (good, bad) if alike is None else (alike.unionByName(good), apart.unionByName(bad))
-        joined = stash(components(alike), "alike")
+        joined = components(alike)
         if turn + 1 == rounds or bad.isEmpty():
             break
         both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -570,7 +593,7 @@ def similar_texts(docs: DataFrame, least: float = SIMILARITY, shingle: int = SIM
     rest = stash(_rest(marked, joined, tree_nodes, least).join(apart, ["a", "b"], "left_anti"), "rest")
     late = stash(_compared(rest, docs, nodes, least, shingle, seed).filter("alike").select("a", "b"), "late")
     if not late.isEmpty():
-        joined = stash(components(alike.unionByName(late)), "alike")
+        joined = components(alike.unionByName(late))
     member = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     found = stash(marked.join(member, F.col("text_hash") == F.col("node")).select("doc_id", "text_hash", "root"), "members")
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))

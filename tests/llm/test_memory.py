@@ -49,3 +49,24 @@ def test_the_slower_library_is_loaded_only_where_needed():
     ids = e.ids("some words")
     assert "_own" not in vars(e)
     assert ids == e.plain_ids("some words") and "_own" in vars(e)
+
+
+def test_few_links_are_closed_as_by_stars(spark):
+    r = random.Random(8)
+    pairs = [(r.randrange(-300, 300) << 40, r.randrange(-300, 300) << 40) for _ in range(260)] + [(k, k + 1) for k in range(40)] + [(7, 7), (9999, 9999)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    stars = {tuple(x) for x in simhash.components(links, at_once=0).collect()}
+    at_once = simhash.components(links).collect()
+    assert {tuple(x) for x in at_once} == stars and len(at_once) == len(stars) > 200
+    assert simhash.components(links.limit(0)).collect() == []
+
+
+def test_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long").repartition(5)
+    context = spark.sparkContext
+    context.setJobGroup("few-links", "links of one chain")
+    try:
+        assert simhash.components(links).count() == 200
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("few-links")) <= 10
