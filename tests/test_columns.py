@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -31,3 +33,22 @@ def test_cheapest_sources_spare_a_column_a_node(spark):
         assert len(asked) <= 310
 
 
+class _Nested:
+    """In-edges of which every round closes one cycle."""
+
+    def __init__(self, n):
+        self.n = n
+
+    def __len__(self):
+        return self.n
+
+    def into(self, t):
+        return np.maximum(np.arange(self.n), t).astype(float)
+
+
+def test_rounds_keep_no_copy_of_all_groups():
+    tracemalloc.start()
+    edges = branching.round_branching(_Nested(1200), 1e7, 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(edges) == 1199 and peak < 8 << 20
