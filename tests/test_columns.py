@@ -52,3 +52,9 @@ def test_rounds_keep_no_copy_of_all_groups():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(edges) == 1199 and peak < 8 << 20
+
+
+def test_rounded_cells_are_half_up():
+    values = np.array([0.5, 2.5, 1.00005, 48.12345, 0.5], np.float32)
+    assert distance.rounded(values, 0).tolist() == [1.0, 3.0, 1.0, 48.0, 1.0]
+    assert distance.rounded(np.array([0.03125, 0.09375], np.float32), 4).tolist() == [0.0313, 0.0938]
